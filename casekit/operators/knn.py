@@ -1,0 +1,372 @@
+"""Exact k-nearest-neighbour join (J5) and the operators built on it: KNN
+imputation (I4), SMOTE (B4), SMOTE + Wilson editing (B5) and ADASYN (B6).
+
+How the join stays exact without comparing all pairs
+----------------------------------------------------
+1. Duplicate vectors are collapsed first: donors are *distinct* vectors with
+   a multiplicity ``cnt``. (Case features are mostly 0/1 flags and small
+   integers, so this removes most rows.)
+2. Every vector gets a 1-D projection ``proj = w . x`` on a fixed unit vector
+   ``w``. For any two points ``|proj(p) - proj(q)| <= ||p - q||``.
+3. Donors are cut into slabs of about ``slab_size`` distinct vectors by
+   approximate quantiles of ``proj`` (per group); the quantiles only balance
+   the slabs, they do not affect the result.
+4. Round 1: each query meets the donors of its own slab (an equi-join on
+   (group, slab): at most ``slab_size`` candidates per query). The running
+   sum of multiplicities in distance order gives the k-th distance ``r``.
+5. Round 2: any donor closer than ``r`` lies in a slab overlapping
+   ``[proj - r, proj + r]``; exactly those slabs are joined in and the top k
+   is taken again. No pair outside that band is ever formed.
+
+Randomness (which row is the base of a synthetic sample, which neighbour, the
+interpolation gap) is a hash of (key, sample index, seed): reproducible on
+re-run and on any cluster size.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from casekit.operators.encode import bounded_broadcast
+from casekit.operators.sampling import class_rank
+from casekit.session import cut_lineage
+
+INF = float("inf")
+
+
+def _unit_axes(d: int, seed: int, n_axes: int = 2) -> list[list[float]]:
+    """``n_axes`` orthonormal random directions (Gram-Schmidt on seeded normals)."""
+    rng = np.random.default_rng(seed)
+    axes = []
+    for _ in range(min(n_axes, d)):
+        v = rng.standard_normal(d)
+        for a in axes:
+            v = v - np.dot(v, a) * a
+        axes.append(v / np.linalg.norm(v))
+    return [[float(x) for x in a] for a in axes]
+
+
+def _proj(features: list[str], w: list[float]) -> Column:
+    e = None
+    for c, wi in zip(features, w):
+        t = F.col(c).cast("double") * F.lit(wi)
+        e = t if e is None else e + t
+    return e
+
+
+def _dist(features: list[str], a: str, b: str) -> Column:
+    s = None
+    for c in features:
+        d = F.col(f"{a}.{c}") - F.col(f"{b}.{c}")
+        s = d * d if s is None else s + d * d
+    return F.sqrt(s)
+
+
+def _vid(features: list[str], extra: list[str] | None = None) -> Column:
+    """Identifier of a distinct vector (and group): md5 of its exact values."""
+    return F.md5(F.to_json(F.struct(*[F.col(c) for c in (extra or []) + features])))
+
+
+def distinct_vectors(df: DataFrame, features: list[str], group: list[str] | None = None) -> DataFrame:
+    """(group..., features..., vid, cnt): duplicates folded map-side."""
+    group = group or []
+    return (df.groupBy(*group, *features).agg(F.count(F.lit(1)).alias("cnt"))
+            .withColumn("vid", _vid(features, group)))
+
+
+def _slab_table(donors: DataFrame, group: list[str], slab_size: int, max_slabs: int = 4096, col: str = "proj",
+                n_axes: int = 1):
+    """Per group: sorted slab lower bounds (approximate quantiles of ``proj``).
+
+    The table has (groups x slabs) entries and is checked before it is used as
+    a literal lookup.
+    """
+    sizes = donors.groupBy(*group).agg(F.count(F.lit(1)).alias("n")) if group else donors.agg(
+        F.count(F.lit(1)).alias("n"))
+    n_max = sizes.agg(F.max("n")).collect()[0][0] or 0
+    n_q = int(min(max_slabs, max(1, math.ceil((n_max / slab_size) ** (1.0 / n_axes)))))
+    qs = [i / n_q for i in range(1, n_q)]
+    if not qs:
+        qs = [0.5]
+    agg = F.percentile_approx(col, qs, 10000).alias("b")
+    g = (donors.groupBy(*group).agg(agg, F.count(F.lit(1)).alias("n")) if group
+         else donors.agg(agg, F.count(F.lit(1)).alias("n")))
+    rows = g.limit((1 << 16) + 1).collect()  # one row per group
+    if len(rows) > 1 << 16:
+        raise ValueError("too many kNN groups for slab lookup")
+    table = []
+    for r in rows:
+        keep = max(1, math.ceil((r["n"] / slab_size) ** (1.0 / n_axes)))  # slabs per axis for this group
+        bounds = sorted(set(float(x) for x in (r["b"] or [])))
+        step = max(1, math.ceil(len(bounds) / keep)) if keep > 1 else len(bounds) + 1
+        table.append(([r[c] for c in group], bounds[step - 1::step] if keep > 1 else []))
+    return table
+
+
+def _slab_expr(table, group: list[str], x: Column) -> Column:
+    """Slab index of value x: number of the group's bounds <= x."""
+    expr = None
+    for keys, bounds in table:
+        arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+        idx = F.size(F.filter(arr, lambda b: b <= x))
+        if not group:
+            return idx
+        cond = None
+        for c, v in zip(group, keys):
+            t = F.col(c).eqNullSafe(F.lit(v))
+            cond = t if cond is None else cond & t
+        expr = F.when(cond, idx) if expr is None else expr.when(cond, idx)
+    return expr if expr is not None else F.lit(0)
+
+
+def _top_k(cands: DataFrame, k: int) -> DataFrame:
+    """Keep, per query, the donors covering the first k neighbour slots
+    (distance, then donor id). ``take`` = slots the donor fills."""
+    w = Window.partitionBy("qid").orderBy("dist", "pid").rowsBetween(Window.unboundedPreceding, 0)
+    c = cands.withColumn("__cum", F.sum("eff").over(w))
+    c = c.where(F.col("__cum") - F.col("eff") < k)
+    return c.withColumn("take", F.least(F.col("eff"), F.lit(k) - (F.col("__cum") - F.col("eff")))) \
+        .withColumn("slot0", F.col("__cum") - F.col("eff")).drop("__cum")
+
+
+def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int, group: list[str] | None = None,
+             exclude_self: bool = False, slab_size: int = 16, seed: int = 42) -> DataFrame:
+    """Exact k nearest donors of every query.
+
+    ``queries``: (group..., features..., qid); ``donors``: (group..., features...,
+    vid, cnt). With ``exclude_self`` the donor whose ``vid`` equals the query's
+    ``qid`` counts one copy less (the query row itself). Returns
+    (qid, pid, dist, take, slot0): donor ``pid`` fills neighbour slots
+    ``slot0 .. slot0 + take - 1`` (ordered by distance, then id).
+
+    Grid: two orthonormal projections, each cut into quantile slabs, so a cell
+    holds about ``slab_size`` distinct donors. Round 1 joins the query's cell
+    and its 8 neighbours; round 2 joins only the other cells inside the
+    square of half-width r (the round-1 k-th distance) around the query's
+    projections.
+    """
+    group = group or []
+    axes = _unit_axes(len(features), seed)
+    na = len(axes)
+    pcols = [f"__p{a}" for a in range(na)]
+    scols = [f"__s{a}" for a in range(na)]
+    d = donors.withColumns({pc: _proj(features, w) for pc, w in zip(pcols, axes)}).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    tables = [_slab_table(d, group, slab_size, col=pc, n_axes=na) for pc in pcols]
+    d = d.withColumns({sc: _slab_expr(t, group, F.col(pc)) for sc, t, pc in zip(scols, tables, pcols)})
+    q = queries.withColumns({pc: _proj(features, w) for pc, w in zip(pcols, axes)})
+    q = q.withColumns({sc: _slab_expr(t, group, F.col(pc)) for sc, t, pc in zip(scols, tables, pcols)}) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+
+    def pairs(qq: DataFrame, cell_cols: list[str]) -> DataFrame:
+        cond = ([F.col(f"q.{c}") == F.col(f"d.{s}") for c, s in zip(cell_cols, scols)]
+                + [F.col(f"q.{g}").eqNullSafe(F.col(f"d.{g}")) for g in group])
+        j = qq.alias("q").join(d.alias("d"), cond)
+        eff = F.col("d.cnt") - F.when(F.lit(exclude_self) & (F.col("d.vid") == F.col("q.qid")), 1).otherwise(0)
+        return j.select(F.col("q.qid").alias("qid"), F.col("d.vid").alias("pid"),
+                        _dist(features, "q", "d").alias("dist"), eff.alias("eff")).where(F.col("eff") > 0)
+
+    ccols = [f"__c{a}" for a in range(na)]
+    q1 = q
+    for cc, sc in zip(ccols, scols):
+        q1 = q1.withColumn(cc, F.explode(F.sequence(F.col(sc) - 1, F.col(sc) + 1)))
+    r1 = _top_k(pairs(q1, ccols), k).persist(StorageLevel.MEMORY_AND_DISK)
+    kth = r1.groupBy("qid").agg(F.max("dist").alias("r"), F.sum("take").alias("found"))
+    q2 = (q.join(kth, "qid", "left")
+          .withColumn("r", F.when(F.coalesce(F.col("found"), F.lit(0)) < k, F.lit(INF)).otherwise(F.col("r"))))
+    near = None
+    for cc, sc, t, pc in zip(ccols, scols, tables, pcols):
+        lo = _slab_expr(t, group, F.col(pc) - F.col("r"))
+        hi = _slab_expr(t, group, F.col(pc) + F.col("r"))
+        q2 = q2.withColumn(cc, F.explode(F.sequence(lo, hi)))
+        inside = F.abs(F.col(cc) - F.col(sc)) <= 1
+        near = inside if near is None else near & inside
+    r2 = pairs(q2.where(~near), ccols)
+    both = r1.select("qid", "pid", "dist", "eff").unionByName(r2)
+    return _top_k(both, k).select("qid", "pid", "dist", "take", "slot0")
+
+
+def _slots(nn: DataFrame) -> DataFrame:
+    """(qid, slot, pid): one row per neighbour slot 0..k-1."""
+    return nn.select("qid", "pid", F.explode(F.sequence(F.col("slot0"), F.col("slot0") + F.col("take") - 1))
+                     .alias("slot"))
+
+
+def _u01(*cols: Column) -> Column:
+    """Uniform [0, 1) from a hash of the given columns (64-bit xxhash)."""
+    h = F.xxhash64(*cols)
+    return (F.pmod(h, F.lit(1 << 53)).cast("double")) / float(1 << 53)
+
+
+# ---- B4: SMOTE ---------------------------------------------------------------
+def _class_targets(df: DataFrame, label: str) -> DataFrame:
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    return sizes.withColumn("n_new", F.lit(sizes.agg(F.max("n_c")).scalar()) - F.col("n_c"))
+
+
+def smote(df: DataFrame, label: str, features: list[str], k: int = 3, seed: int = 42, key: str = "case_id",
+          slab_size: int = 16) -> DataFrame:
+    """Grow every class to the majority size with synthetic rows
+    x + u * (neighbour - x), the neighbour drawn from the k nearest rows of the
+    same class (Chawla et al. 2002).
+
+    The n_new synthetic rows of a class are dealt round-robin over its rows in
+    hash order (row of rank i gets floor(n_new / n_c) + [i <= n_new mod n_c]),
+    so every row contributes and the total is exact. Output: the input rows
+    (``synthetic = 0``) and the new rows (``synthetic = 1``, ``key`` NULL).
+    """
+    base = df.where(F.col(label).isNotNull()).select(key, label, *features)
+    # lineage cut: the input is read by the kNN join, the ranks and the output
+    base = cut_lineage(base.withColumn("vid", _vid(features, [label])))
+    donors = distinct_vectors(base, features, [label]).persist(StorageLevel.MEMORY_AND_DISK)
+    queries = donors.select(label, *features, F.col("vid").alias("qid"))
+    nn = knn_join(queries, donors, features, k, [label], exclude_self=True, slab_size=slab_size, seed=seed)
+    slots = _slots(nn)
+    return _synthesize(base, df, label, features, key, seed, slots, per_row=None)
+
+
+def _synthesize(base: DataFrame, df: DataFrame, label: str, features: list[str], key: str, seed: int,
+                slots: DataFrame, per_row: DataFrame | None) -> DataFrame:
+    """Generate synthetic rows from base rows and their neighbour slots.
+
+    ``per_row``: optional (key, g) with the number of samples of each row
+    (ADASYN); default: round-robin share of the class's deficit (SMOTE).
+    """
+    if per_row is None:
+        tgt = _class_targets(base, label)
+        tgt, _ = bounded_broadcast(tgt, 1 << 16)
+        r = class_rank(base, label, key, seed).join(tgt, label)
+        g = (F.floor(F.col("n_new") / F.col("n_c")) +
+             F.when(F.col("class_rank") <= F.pmod(F.col("n_new"), F.col("n_c")), 1).otherwise(0)).cast("int")
+        r = r.withColumn("g", g).drop("class_rank", "class_n", "n_new", "n_c")
+    else:
+        r = base.join(per_row, key)
+    r = r.where(F.col("g") > 0)
+    r = r.withColumn("s", F.explode(F.sequence(F.lit(1), F.col("g"))))
+    # how many neighbour slots the row has (k, or fewer in a tiny class)
+    kq = slots.groupBy("qid").agg(F.count(F.lit(1)).alias("kq"))
+    r = r.join(kq, r.vid == kq.qid).drop("qid")
+    r = r.withColumns({"slot": F.pmod(F.xxhash64(F.col(key), F.col("s"), F.lit(seed)), F.col("kq")).cast("int"),
+                       "u": _u01(F.col(key), F.col("s"), F.lit(seed + 1))})
+    nbr = slots.alias("sl").join(
+        distinct_vectors(base, features, [label]).select("vid", *[F.col(c).alias(f"n_{c}") for c in features]).alias("v"),
+        F.col("sl.pid") == F.col("v.vid")).select("qid", "slot", *[f"n_{c}" for c in features])
+    syn = r.join(nbr, (r.vid == nbr.qid) & (r.slot == nbr.slot)).select(
+        F.lit(None).cast(df.schema[key].dataType).alias(key), F.col(label),
+        *[(F.col(c).cast("double") + F.col("u") * (F.col(f"n_{c}").cast("double") - F.col(c).cast("double"))).alias(c)
+          for c in features],
+        F.lit(1).alias("synthetic"))
+    orig = base.select(key, label, *[F.col(c).cast("double").alias(c) for c in features], F.lit(0).alias("synthetic"))
+    return orig.unionByName(syn)
+
+
+# ---- B5: SMOTE + edited nearest neighbours -------------------------------------
+def edited_nearest_neighbours(df: DataFrame, label: str, features: list[str], k: int = 3, seed: int = 42,
+                              slab_size: int = 16) -> DataFrame:
+    """Wilson editing: drop every row whose k nearest other rows are not all of its class."""
+    donors = distinct_vectors(df, features, [label]).persist(StorageLevel.MEMORY_AND_DISK)
+    queries = donors.select(label, *features, F.col("vid").alias("qid"))
+    nn = knn_join(queries, donors.select(*features, label, "vid", "cnt"), features, k, None,
+                  exclude_self=True, slab_size=slab_size, seed=seed)
+    lab = donors.select(F.col("vid").alias("pid"), F.col(label).alias("__nl"))
+    own = donors.select(F.col("vid").alias("qid"), F.col(label).alias("__ol"))
+    votes = (nn.join(lab, "pid").join(own, "qid")
+             .groupBy("qid").agg(F.sum(F.when(F.col("__nl") != F.col("__ol"), F.col("take")).otherwise(0)).alias("bad")))
+    keep = votes.where(F.col("bad") == 0).select(F.col("qid").alias("__vid"))
+    return (df.withColumn("__vid", _vid(features, [label])).join(keep, "__vid", "left_semi").drop("__vid"))
+
+
+def smote_enn(df: DataFrame, label: str, features: list[str], k: int = 3, seed: int = 42, key: str = "case_id",
+              slab_size: int = 16) -> DataFrame:
+    """SMOTE, then Wilson editing (3 neighbours) over all classes."""
+    s = cut_lineage(smote(df, label, features, k, seed, key, slab_size))
+    return edited_nearest_neighbours(s, label, features, 3, seed, slab_size)
+
+
+# ---- B6: ADASYN -----------------------------------------------------------------
+def adasyn(df: DataFrame, label: str, features: list[str], k: int = 3, seed: int = 42, key: str = "case_id",
+           slab_size: int = 16) -> DataFrame:
+    """For each non-majority class, rows whose k nearest rows (any class)
+    are mostly other classes get more synthetic samples (He et al. 2008):
+    g_i = rint(r_i / sum(r) * (n_max - n_c)), r_i = share of other-class neighbours.
+    Interpolation partners come from the k nearest rows of the same class.
+    """
+    base = df.where(F.col(label).isNotNull()).select(key, label, *features)
+    base = cut_lineage(base.withColumn("vid", _vid(features, [label])))
+    donors = distinct_vectors(base, features, [label]).persist(StorageLevel.MEMORY_AND_DISK)
+    queries = donors.select(label, *features, F.col("vid").alias("qid"))
+    # neighbours among all classes -> r_i per distinct (vector, class)
+    nn_all = knn_join(queries, donors, features, k, None, exclude_self=True, slab_size=slab_size, seed=seed)
+    lab = donors.select(F.col("vid").alias("pid"), F.col(label).alias("__nl"))
+    own = donors.select(F.col("vid").alias("qid"), F.col(label).alias("__ol"), "cnt")
+    r = (nn_all.join(lab, "pid").join(own, "qid").groupBy("qid", "__ol", "cnt")
+         .agg((F.sum(F.when(F.col("__nl") != F.col("__ol"), F.col("take")).otherwise(0)) / k).alias("r")))
+    tgt = _class_targets(base, label)
+    r = r.join(tgt, r["__ol"] == tgt[label])
+    tot = r.groupBy("__ol").agg(F.sum(F.col("r") * F.col("cnt")).alias("rsum"))
+    r = r.join(tot, "__ol")
+    g = F.when(F.col("rsum") > 0, F.rint(F.col("r") / F.col("rsum") * F.col("n_new"))).otherwise(0).cast("int")
+    per_vec = r.select(F.col("qid").alias("vid"), g.alias("g"))
+    per_row = base.join(per_vec, "vid").select(key, "g")
+    # partners: nearest rows of the same class
+    nn_same = knn_join(queries, donors, features, k, [label], exclude_self=True, slab_size=slab_size, seed=seed)
+    return _synthesize(base, df, label, features, key, seed, _slots(nn_same), per_row)
+
+
+# ---- I4: KNN imputation -------------------------------------------------------------
+def fit_knn_imputer(train: DataFrame, features: list[str]) -> DataFrame:
+    """I4 fit: the donor rows (train rows, feature columns only)."""
+    return train.select(*features)
+
+
+def apply_knn_imputer(df: DataFrame, features: list[str], donors: DataFrame, k: int = 5, seed: int = 42,
+                      slab_size: int = 16, max_patterns: int = 64) -> DataFrame:
+    """I4: fill each missing value with the mean of that column over the k
+    nearest donors that have it, distance over the row's observed columns.
+
+    Donors must also be complete on the row's observed columns (the
+    reference's NaN-aware distance would also accept partially observed
+    donors). A value with no donor falls back to the donor column mean.
+    Missing-value patterns are few (checked); each pattern is one exact kNN
+    join.
+    """
+    key_df = df.withColumn("__rid", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    miss = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in features])
+    patterns = [r[0] for r in key_df.select(miss.alias("p")).where(F.col("p").contains("1")).distinct()
+                .limit(max_patterns + 1).collect()]
+    if len(patterns) > max_patterns:
+        raise ValueError(f"more than {max_patterns} missing-value patterns")
+    means = donors.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).collect()[0]
+    out = key_df.where(~miss.contains("1")) if patterns else key_df
+    filled_parts = [out]
+    for p in patterns:
+        obs = [c for c, m in zip(features, p) if m == "0"]
+        mis = [c for c, m in zip(features, p) if m == "1"]
+        rows = key_df.where(miss == p)
+        if not obs:
+            filled_parts.append(rows.withColumns({c: F.lit(means[c]) for c in mis}))
+            continue
+        part = rows
+        for c in mis:
+            dn = donors.where(F.col(c).isNotNull())
+            for o in obs:
+                dn = dn.where(F.col(o).isNotNull())
+            dv = dn.groupBy(*obs).agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.col(c).cast("double")).alias("__sum"))
+            dv = dv.withColumn("vid", _vid(obs))
+            qv = rows.select(*obs).distinct().withColumn("qid", _vid(obs))
+            nn = knn_join(qv, dv.select(*obs, "vid", "cnt"), obs, k, None, slab_size=slab_size, seed=seed)
+            # mean over the k slots: a donor vector with several rows contributes its rows' mean per slot
+            val = (nn.join(dv.select(F.col("vid").alias("pid"), (F.col("__sum") / F.col("cnt")).alias("__m")), "pid")
+                   .groupBy("qid").agg((F.sum(F.col("__m") * F.col("take")) / F.sum("take")).alias(f"__imp_{c}")))
+            part = (part.withColumn("qid", _vid(obs)).join(val, "qid", "left")
+                    .withColumn(c, F.coalesce(F.col(f"__imp_{c}"), F.lit(means[c]))).drop("qid", f"__imp_{c}"))
+        filled_parts.append(part)
+    res = filled_parts[0]
+    for p in filled_parts[1:]:
+        res = res.unionByName(p, allowMissingColumns=True)
+    return res.drop("__rid")
