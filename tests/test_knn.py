@@ -1,0 +1,78 @@
+"""Exact kNN join against brute force; properties of SMOTE, SMOTE-ENN, ADASYN and KNN imputation."""
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from casekit.operators import knn as K
+
+
+def _brute(dv, feats, k, group):
+    out = {}
+    for _, r in dv.iterrows():
+        same = dv[dv[group] == r[group]] if group else dv
+        d = np.sqrt(((same[feats].values - r[feats].values.astype(float)) ** 2).sum(1))
+        cnt = same.cnt.values.copy()
+        cnt[same.vid.values == r.vid] -= 1
+        out[r.vid] = np.sort(np.repeat(d, cnt))[:k]
+    return out
+
+
+def test_knn_join_exact_with_duplicates(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    x[:40] = x[40:80]
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, 400).astype(str), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
+    df = spark.createDataFrame(pdf)
+    feats = ["a", "b", "c"]
+    dv = K.distinct_vectors(df, feats, ["g"])
+    q = dv.select("g", *feats, F.col("vid").alias("qid"))
+    expect = _brute(dv.toPandas(), feats, 4, "g")
+    for slab in (2, 16):
+        nn = K.knn_join(q, dv, feats, 4, ["g"], exclude_self=True, slab_size=slab).toPandas()
+        for vid, dists in expect.items():
+            got = nn[nn.qid == vid]
+            assert np.allclose(np.sort(np.repeat(got["dist"].values, got["take"].values)), dists)
+
+
+def _two_class(spark, centre=3.0):
+    rng = np.random.default_rng(2)
+    maj = rng.normal(0, 1, size=(300, 2))
+    mino = rng.normal(centre, 0.5, size=(60, 2))
+    rows = [(i, "NO_CRITICO", float(a), float(b)) for i, (a, b) in enumerate(maj)]
+    rows += [(1000 + i, "CRITICO", float(a), float(b)) for i, (a, b) in enumerate(mino)]
+    return spark.createDataFrame(rows, "case_id LONG, y STRING, a DOUBLE, b DOUBLE")
+
+
+def test_smote_balances_and_stays_in_class_hull(spark):
+    df = _two_class(spark)
+    s = K.smote(df, "y", ["a", "b"], k=3, seed=42).cache()
+    sizes = {r.y: r["count"] for r in s.groupBy("y").count().collect()}
+    assert sizes == {"NO_CRITICO": 300, "CRITICO": 300}
+    lim = df.where(F.col("y") == "CRITICO").agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).collect()[0]
+    syn = s.where(F.col("synthetic") == 1).agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).collect()[0]
+    assert syn[0] >= lim[0] and syn[1] <= lim[1] and syn[2] >= lim[2] and syn[3] <= lim[3]
+    again = K.smote(df, "y", ["a", "b"], k=3, seed=42)
+    assert s.exceptAll(again).count() == 0  # reproducible
+
+
+def test_smote_enn_removes_only(spark):
+    df = _two_class(spark)
+    s = K.smote(df, "y", ["a", "b"], k=3, seed=42)
+    e = K.smote_enn(df, "y", ["a", "b"], k=3, seed=42)
+    assert 0 < e.count() <= s.count()
+
+
+def test_adasyn_targets_hard_rows(spark):
+    df = _two_class(spark, centre=1.0)  # overlapping classes: some minority rows have majority neighbours
+    a = K.adasyn(df, "y", ["a", "b"], k=3, seed=42)
+    n_syn = a.where(F.col("synthetic") == 1).count()
+    assert 0 < n_syn <= 300  # rint of shares of a 240-row deficit
+
+
+def test_knn_imputer_fills_from_neighbours(spark):
+    donors = spark.createDataFrame([(0.0, 0.0, 10.0), (0.1, 0.0, 12.0), (5.0, 5.0, 100.0), (5.1, 5.0, 102.0)],
+                                   "x DOUBLE, y DOUBLE, v DOUBLE")
+    df = spark.createDataFrame([(1, 0.05, 0.0, None), (2, 5.05, 5.0, None), (3, 1.0, 1.0, 7.0)],
+                               "id INT, x DOUBLE, y DOUBLE, v DOUBLE")
+    out = {r.id: r.v for r in K.apply_knn_imputer(df, ["x", "y", "v"], donors, k=2).collect()}
+    assert out == {1: 11.0, 2: 101.0, 3: 7.0}
