@@ -68,8 +68,8 @@ def _dist(features: list[str], a: str, b: str) -> Column:
 
 
 def _vid(features: list[str], extra: list[str] | None = None) -> Column:
-    """Identifier of a distinct vector (and group): md5 of its exact values."""
-    return F.md5(F.to_json(F.struct(*[F.col(c) for c in (extra or []) + features])))
+    """Identifier of a distinct vector (and group): the 16-byte md5 of its exact values."""
+    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(c) for c in (extra or []) + features]))))
 
 
 def distinct_vectors(df: DataFrame, features: list[str], group: list[str] | None = None) -> DataFrame:
@@ -79,49 +79,25 @@ def distinct_vectors(df: DataFrame, features: list[str], group: list[str] | None
             .withColumn("vid", _vid(features, group)))
 
 
-def _slab_table(donors: DataFrame, group: list[str], slab_size: int, max_slabs: int = 4096, col: str = "proj",
-                n_axes: int = 1):
-    """Per group: sorted slab lower bounds (approximate quantiles of ``proj``).
-
-    The table has (groups x slabs) entries and is checked before it is used as
-    a literal lookup.
+def _bounds(df: DataFrame, keys: list[str], col: str, per_key_n: str, slab_size: int, n_cap: int,
+            name: str) -> DataFrame:
+    """Per key: sorted approximate-quantile cut points of ``col`` giving slabs
+    of about ``slab_size`` rows (``per_key_n`` = how many slabs along this
+    axis). The quantiles only balance the slabs; results do not depend on them.
     """
-    sizes = donors.groupBy(*group).agg(F.count(F.lit(1)).alias("n")) if group else donors.agg(
-        F.count(F.lit(1)).alias("n"))
-    n_max = sizes.agg(F.max("n")).collect()[0][0] or 0
-    n_q = int(min(max_slabs, max(1, math.ceil((n_max / slab_size) ** (1.0 / n_axes)))))
-    qs = [i / n_q for i in range(1, n_q)]
-    if not qs:
-        qs = [0.5]
-    agg = F.percentile_approx(col, qs, 10000).alias("b")
-    g = (donors.groupBy(*group).agg(agg, F.count(F.lit(1)).alias("n")) if group
-         else donors.agg(agg, F.count(F.lit(1)).alias("n")))
-    rows = g.limit((1 << 16) + 1).collect()  # one row per group
-    if len(rows) > 1 << 16:
-        raise ValueError("too many kNN groups for slab lookup")
-    table = []
-    for r in rows:
-        keep = max(1, math.ceil((r["n"] / slab_size) ** (1.0 / n_axes)))  # slabs per axis for this group
-        bounds = sorted(set(float(x) for x in (r["b"] or [])))
-        step = max(1, math.ceil(len(bounds) / keep)) if keep > 1 else len(bounds) + 1
-        table.append(([r[c] for c in group], bounds[step - 1::step] if keep > 1 else []))
-    return table
-
-
-def _slab_expr(table, group: list[str], x: Column) -> Column:
-    """Slab index of value x: number of the group's bounds <= x."""
-    expr = None
-    for keys, bounds in table:
-        arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-        idx = F.size(F.filter(arr, lambda b: b <= x))
-        if not group:
-            return idx
-        cond = None
-        for c, v in zip(group, keys):
-            t = F.col(c).eqNullSafe(F.lit(v))
-            cond = t if cond is None else cond & t
-        expr = F.when(cond, idx) if expr is None else expr.when(cond, idx)
-    return expr if expr is not None else F.lit(0)
+    qs = [i / n_cap for i in range(1, n_cap)] or [0.5]
+    b = df.groupBy(*keys).agg(F.percentile_approx(col, qs, 10000).alias("__q"), F.count(F.lit(1)).alias("__n"))
+    # thin the fine quantile grid to the number of slabs this key needs
+    want = F.greatest(F.lit(1), F.ceil(F.expr(per_key_n)))
+    step = F.greatest(F.lit(1), F.ceil(F.lit(len(qs)) / want)).cast("int")
+    thinned = F.array_distinct(F.filter(F.col("__q"), lambda x, i: ((i + 1) % step) == 0))
+    return b.select(*keys, F.when(want > 1, F.array_sort(thinned)).otherwise(F.array().cast("array<double>"))
+                    .alias(name), "__n")
+
+
+def _slab_of(bounds: Column, x: Column) -> Column:
+    """Number of cut points <= x (slab index, 0-based)."""
+    return F.size(F.filter(bounds, lambda b: b <= x))
 
 
 def _top_k(cands: DataFrame, k: int) -> DataFrame:
@@ -135,7 +111,8 @@ def _top_k(cands: DataFrame, k: int) -> DataFrame:
 
 
 def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int, group: list[str] | None = None,
-             exclude_self: bool = False, slab_size: int = 16, seed: int = 42) -> DataFrame:
+             exclude_self: bool = False, slab_size: int | None = None, seed: int = 42,
+             max_levels: int = 6, max_slabs: int = 1024) -> DataFrame:
     """Exact k nearest donors of every query.
 
     ``queries``: (group..., features..., qid); ``donors``: (group..., features...,
@@ -144,53 +121,104 @@ def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int,
     (qid, pid, dist, take, slot0): donor ``pid`` fills neighbour slots
     ``slot0 .. slot0 + take - 1`` (ordered by distance, then id).
 
-    Grid: two orthonormal projections, each cut into quantile slabs, so a cell
-    holds about ``slab_size`` distinct donors. Round 1 joins the query's cell
-    and its 8 neighbours; round 2 joins only the other cells inside the
-    square of half-width r (the round-1 k-th distance) around the query's
-    projections.
+    Index: a k-d split on the feature axes with the largest spread (up to
+    ``max_levels``); each level cuts every parent cell by its own quantiles,
+    so a leaf holds about ``slab_size`` distinct donors. Since
+    ``|x_a - y_a| <= ||x - y||`` on every axis:
+
+    * round 1 joins each query with its own leaf and takes the k-th distance
+      ``r`` (queries whose leaf is short take ``r`` from the parent cell);
+    * round 2 joins only the other leaves overlapping the box ``x +- r`` on
+      the split axes.
+
+    Cut-point tables have one row per parent cell and are broadcast after a
+    size check (else shuffle-joined). No pair outside a query's box is formed.
     """
-    group = group or []
-    axes = _unit_axes(len(features), seed)
-    na = len(axes)
-    pcols = [f"__p{a}" for a in range(na)]
-    scols = [f"__s{a}" for a in range(na)]
-    d = donors.withColumns({pc: _proj(features, w) for pc, w in zip(pcols, axes)}).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    tables = [_slab_table(d, group, slab_size, col=pc, n_axes=na) for pc in pcols]
-    d = d.withColumns({sc: _slab_expr(t, group, F.col(pc)) for sc, t, pc in zip(scols, tables, pcols)})
-    q = queries.withColumns({pc: _proj(features, w) for pc, w in zip(pcols, axes)})
-    q = q.withColumns({sc: _slab_expr(t, group, F.col(pc)) for sc, t, pc in zip(scols, tables, pcols)}) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-
-    def pairs(qq: DataFrame, cell_cols: list[str]) -> DataFrame:
-        cond = ([F.col(f"q.{c}") == F.col(f"d.{s}") for c, s in zip(cell_cols, scols)]
-                + [F.col(f"q.{g}").eqNullSafe(F.col(f"d.{g}")) for g in group])
-        j = qq.alias("q").join(d.alias("d"), cond)
+    if not group:  # one constant group keeps every lookup an equi-join
+        queries, donors, group = queries.withColumn("__g", F.lit(0)), donors.withColumn("__g", F.lit(0)), ["__g"]
+    slab_size = slab_size or max(16, 4 * (k + 1))
+    d = donors.persist(StorageLevel.MEMORY_AND_DISK)
+    spread = d.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(features)]).collect()[0]
+    order = sorted(range(len(features)), key=lambda i: -(spread[i] or 0.0))
+    axes = [features[i] for i in order if (spread[i] or 0.0) > 0][:max_levels] or [features[0]]
+    m = len(axes)
+    n_max = d.groupBy(*group).count().agg(F.max("count")).collect()[0][0] or 1
+    cap = int(min(max_slabs, max(2, 2 * math.ceil((n_max / slab_size) ** (1.0 / m)) + 2)))
+
+    tables, keys, cur = [], list(group), d
+    for j, a in enumerate(axes):
+        bj = _bounds(cur, keys, a, f"power(__n / {slab_size}, {1.0 / (m - j)})", slab_size, cap, f"__b{j}") \
+            .drop("__n")
+        bj, _ = bounded_broadcast(bj, 1 << 22)
+        tables.append(bj)
+        cur = _attach(cur, bj, keys).withColumn(f"__s{j}", _slab_of(F.col(f"__b{j}"), F.col(a).cast("double"))) \
+            .drop(f"__b{j}")
+        keys = keys + [f"__s{j}"]
+    dc = cur.persist(StorageLevel.MEMORY_AND_DISK)
+    leaf = [f"__s{j}" for j in range(m)]
+
+    q = queries
+    for j, a in enumerate(axes):
+        q = _attach(q, tables[j], group + leaf[:j]).withColumn(f"__s{j}", _slab_of(F.col(f"__b{j}"),
+                                                                                    F.col(a).cast("double")))
+    q = q.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def pairs(qq: DataFrame, cell_cols: list[str], donor_cols: list[str]) -> DataFrame:
+        # plain equality (group keys are non-NULL): the join's hash partitioning then
+        # covers the partial window's keys and no extra exchange is planned
+        cond = ([F.col(f"q.{c}") == F.col(f"d.{s}") for c, s in zip(cell_cols, donor_cols)]
+                + [F.col(f"q.{g}") == F.col(f"d.{g}") for g in group])
+        j = qq.alias("q").join(dc.alias("d"), cond)
         eff = F.col("d.cnt") - F.when(F.lit(exclude_self) & (F.col("d.vid") == F.col("q.qid")), 1).otherwise(0)
-        return j.select(F.col("q.qid").alias("qid"), F.col("d.vid").alias("pid"),
-                        _dist(features, "q", "d").alias("dist"), eff.alias("eff")).where(F.col("eff") > 0)
-
-    ccols = [f"__c{a}" for a in range(na)]
-    q1 = q
-    for cc, sc in zip(ccols, scols):
-        q1 = q1.withColumn(cc, F.explode(F.sequence(F.col(sc) - 1, F.col(sc) + 1)))
-    r1 = _top_k(pairs(q1, ccols), k).persist(StorageLevel.MEMORY_AND_DISK)
+        out = j.select(F.col("q.qid").alias("qid"), F.col("d.vid").alias("pid"),
+                       *[F.col(f"d.{c}").alias(f"__k{i}") for i, c in enumerate(group + donor_cols)],
+                       _dist(features, "q", "d").alias("dist"), eff.alias("eff")).where(F.col("eff") > 0)
+        # partial top-k per (query, cell) inside the join's own partitions (the window is
+        # partitioned by a superset of the join keys, so no exchange): at most k pairs
+        # per query and cell go on to the per-query shuffle
+        kk = [f"__k{i}" for i in range(len(group + donor_cols))]
+        w = Window.partitionBy(*kk, "qid").orderBy("dist", "pid").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("__cum", F.sum("eff").over(w)).where(F.col("__cum") - F.col("eff") < k)
+        return out.drop("__cum", *kk)
+
+    # round 1: own leaf
+    r1 = _top_k(pairs(q, leaf, leaf), k).persist(StorageLevel.MEMORY_AND_DISK)
     kth = r1.groupBy("qid").agg(F.max("dist").alias("r"), F.sum("take").alias("found"))
-    q2 = (q.join(kth, "qid", "left")
+    short = q.join(kth.where(F.col("found") >= k).select("qid"), "qid", "left_anti")
+    if m > 1:
+        # a short leaf: bound r with the parent cell (all leaves under the same first m-1 cuts)
+        up = _top_k(pairs(short, leaf[:-1], leaf[:-1]), k)
+        r_up = up.groupBy("qid").agg(F.max("dist").alias("r"), F.sum("take").alias("found"))
+        kth = kth.where(F.col("found") >= k).unionByName(r_up)
+    q2 = (q.select("qid", *group, *features, *leaf).join(kth, "qid", "left")
           .withColumn("r", F.when(F.coalesce(F.col("found"), F.lit(0)) < k, F.lit(INF)).otherwise(F.col("r"))))
-    near = None
-    for cc, sc, t, pc in zip(ccols, scols, tables, pcols):
-        lo = _slab_expr(t, group, F.col(pc) - F.col("r"))
-        hi = _slab_expr(t, group, F.col(pc) + F.col("r"))
-        q2 = q2.withColumn(cc, F.explode(F.sequence(lo, hi)))
-        inside = F.abs(F.col(cc) - F.col(sc)) <= 1
-        near = inside if near is None else near & inside
-    r2 = pairs(q2.where(~near), ccols)
+    # round 2: cells overlapping the box, level by level
+    cells = [f"__c{j}" for j in range(m)]
+    for j, a in enumerate(axes):
+        q2 = _attach(q2, tables[j], group + leaf[:j], rename=dict(zip(leaf[:j], cells[:j])))
+        x = F.col(a).cast("double")
+        q2 = q2.withColumn(cells[j], F.explode(F.sequence(_slab_of(F.col(f"__b{j}"), x - F.col("r")),
+                                                         _slab_of(F.col(f"__b{j}"), x + F.col("r"))))) \
+            .drop(f"__b{j}")
+    own = None
+    for c, s_ in zip(cells, leaf):
+        e = F.col(c) == F.col(s_)
+        own = e if own is None else own & e
+    r2 = pairs(q2.where(~own), cells, leaf)
     both = r1.select("qid", "pid", "dist", "eff").unionByName(r2)
     return _top_k(both, k).select("qid", "pid", "dist", "take", "slot0")
 
 
+def _attach(frame: DataFrame, table: DataFrame, keys: list[str], rename: dict | None = None) -> DataFrame:
+    """Left-join a cut-point table on its keys; ``rename`` maps a table key to
+    the frame column that holds it."""
+    rename = rename or {}
+    ren = {kc: f"__t_{kc}" for kc in keys}
+    t = table.select(*[F.col(kc).alias(ren[kc]) for kc in keys], *[c for c in table.columns if c not in keys])
+    cond = [F.col(rename.get(kc, kc)).eqNullSafe(F.col(ren[kc])) for kc in keys]
+    return frame.join(t, cond, "left").drop(*ren.values())
+
+
 def _slots(nn: DataFrame) -> DataFrame:
     """(qid, slot, pid): one row per neighbour slot 0..k-1."""
     return nn.select("qid", "pid", F.explode(F.sequence(F.col("slot0"), F.col("slot0") + F.col("take") - 1))

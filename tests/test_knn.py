@@ -12,8 +12,8 @@ def _brute(dv, feats, k, group):
         same = dv[dv[group] == r[group]] if group else dv
         d = np.sqrt(((same[feats].values - r[feats].values.astype(float)) ** 2).sum(1))
         cnt = same.cnt.values.copy()
-        cnt[same.vid.values == r.vid] -= 1
-        out[r.vid] = np.sort(np.repeat(d, cnt))[:k]
+        cnt[np.array([bytes(v) == bytes(r.vid) for v in same.vid])] -= 1
+        out[bytes(r.vid)] = np.sort(np.repeat(d, cnt))[:k]
     return out
 
 
@@ -29,8 +29,9 @@ def test_knn_join_exact_with_duplicates(spark):
     expect = _brute(dv.toPandas(), feats, 4, "g")
     for slab in (2, 16):
         nn = K.knn_join(q, dv, feats, 4, ["g"], exclude_self=True, slab_size=slab).toPandas()
+        nn["qid"] = nn.qid.map(bytes)
         for vid, dists in expect.items():
-            got = nn[nn.qid == vid]
+            got = nn[nn.qid == bytes(vid)]
             assert np.allclose(np.sort(np.repeat(got["dist"].values, got["take"].values)), dists)
 
 
