@@ -137,7 +137,8 @@ def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int,
     if not group:  # one constant group keeps every lookup an equi-join
         queries, donors, group = queries.withColumn("__g", F.lit(0)), donors.withColumn("__g", F.lit(0)), ["__g"]
     slab_size = slab_size or max(16, 4 * (k + 1))
-    d = donors.persist(StorageLevel.MEMORY_AND_DISK)
+    # lineage cuts (shared checkpoint folder) keep the nested index plans small
+    d = cut_lineage(donors)
     spread = d.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(features)]).collect()[0]
     order = sorted(range(len(features)), key=lambda i: -(spread[i] or 0.0))
     axes = [features[i] for i in order if (spread[i] or 0.0) > 0][:max_levels] or [features[0]]
@@ -149,19 +150,19 @@ def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int,
     for j, a in enumerate(axes):
         bj = _bounds(cur, keys, a, f"power(__n / {slab_size}, {1.0 / (m - j)})", slab_size, cap, f"__b{j}") \
             .drop("__n")
-        bj, _ = bounded_broadcast(bj, 1 << 22)
+        bj, _ = bounded_broadcast(cut_lineage(bj), 1 << 22)
         tables.append(bj)
         cur = _attach(cur, bj, keys).withColumn(f"__s{j}", _slab_of(F.col(f"__b{j}"), F.col(a).cast("double"))) \
             .drop(f"__b{j}")
         keys = keys + [f"__s{j}"]
-    dc = cur.persist(StorageLevel.MEMORY_AND_DISK)
+    dc = cut_lineage(cur)
     leaf = [f"__s{j}" for j in range(m)]
 
     q = queries
     for j, a in enumerate(axes):
         q = _attach(q, tables[j], group + leaf[:j]).withColumn(f"__s{j}", _slab_of(F.col(f"__b{j}"),
                                                                                     F.col(a).cast("double")))
-    q = q.persist(StorageLevel.MEMORY_AND_DISK)
+    q = cut_lineage(q)
 
     def pairs(qq: DataFrame, cell_cols: list[str], donor_cols: list[str]) -> DataFrame:
         # plain equality (group keys are non-NULL): the join's hash partitioning then
@@ -182,7 +183,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int,
         return out.drop("__cum", *kk)
 
     # round 1: own leaf
-    r1 = _top_k(pairs(q, leaf, leaf), k).persist(StorageLevel.MEMORY_AND_DISK)
+    r1 = cut_lineage(_top_k(pairs(q, leaf, leaf), k))
     kth = r1.groupBy("qid").agg(F.max("dist").alias("r"), F.sum("take").alias("found"))
     short = q.join(kth.where(F.col("found") >= k).select("qid"), "qid", "left_anti")
     if m > 1:
