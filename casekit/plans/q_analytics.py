@@ -299,3 +299,13 @@ def _missing_by_class_sql(cols):
 @register("missing_by_class", with_ctes(_missing_by_class_sql(KEY_MISSING_COLS)))
 def q_missing_by_class(spark, sf):
     return R.missing_by_class(feats(spark, sf), KEY_MISSING_COLS)
+
+
+# ---- F2 ---------------------------------------------------------------------
+@register("severity_groups_known", with_ctes(
+    f"SELECT severity_group, {cnt()} AS n, {cnt()} * 100 / (SELECT count(*) FROM feat WHERE severity_group <> 'UNKNOWN') "
+    "AS pct FROM feat WHERE severity_group <> 'UNKNOWN' GROUP BY severity_group"))
+def q_severity_known(spark, sf):
+    """drop the UNKNOWN group, then class shares of the remaining rows."""
+    f = feats(spark, sf).where(F.col("severity_group") != "UNKNOWN")
+    return P.value_counts(f, "severity_group")
