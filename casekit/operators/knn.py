@@ -164,7 +164,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int,
                                                                                     F.col(a).cast("double")))
     q = cut_lineage(q)
 
-    def pairs(qq: DataFrame, cell_cols: list[str], donor_cols: list[str]) -> DataFrame:
+    def pairs(qq: DataFrame, cell_cols: list[str], donor_cols: list[str], within_r: bool = False) -> DataFrame:
         # plain equality (group keys are non-NULL): the join's hash partitioning then
         # covers the partial window's keys and no extra exchange is planned
         cond = ([F.col(f"q.{c}") == F.col(f"d.{s}") for c, s in zip(cell_cols, donor_cols)]
@@ -173,7 +173,10 @@ def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int,
         eff = F.col("d.cnt") - F.when(F.lit(exclude_self) & (F.col("d.vid") == F.col("q.qid")), 1).otherwise(0)
         out = j.select(F.col("q.qid").alias("qid"), F.col("d.vid").alias("pid"),
                        *[F.col(f"d.{c}").alias(f"__k{i}") for i, c in enumerate(group + donor_cols)],
-                       _dist(features, "q", "d").alias("dist"), eff.alias("eff")).where(F.col("eff") > 0)
+                       _dist(features, "q", "d").alias("dist"), eff.alias("eff"),
+                       (F.col("q.r") if within_r else F.lit(INF)).alias("__r"))
+        # r bounds the k-th distance from above, so a farther donor can never be among the k nearest
+        out = out.where((F.col("eff") > 0) & (F.col("dist") <= F.col("__r"))).drop("__r")
         # partial top-k per (query, cell) inside the join's own partitions (the window is
         # partitioned by a superset of the join keys, so no exchange): at most k pairs
         # per query and cell go on to the per-query shuffle
@@ -205,7 +208,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, features: list[str], k: int,
     for c, s_ in zip(cells, leaf):
         e = F.col(c) == F.col(s_)
         own = e if own is None else own & e
-    r2 = pairs(q2.where(~own), cells, leaf)
+    r2 = pairs(q2.where(~own), cells, leaf, within_r=True)
     both = r1.select("qid", "pid", "dist", "eff").unionByName(r2)
     return _top_k(both, k).select("qid", "pid", "dist", "take", "slot0")
 
