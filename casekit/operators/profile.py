@@ -160,21 +160,31 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, approx: bool
                      accuracy: int = 100000) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation), max.
 
-    ``F.percentile`` is exact; its buffer holds one entry per distinct value of
-    the column, which is bounded for these case columns (hours, zips, 4-digit
-    coordinates). For unbounded continuous columns pass ``approx=True``.
+    Quartiles are exact by default and computed by the distributed
+    ``exact_quantiles`` over the unpivoted (column, value) pairs;
+    ``approx=True`` uses ``percentile_approx`` instead.
     """
+    from casekit.operators.quantiles import exact_quantiles
     cols = cols or numeric_columns(df)
     aggs = []
-    q = (lambda c, p: F.percentile_approx(c, p, accuracy)) if approx else (lambda c, p: F.percentile(c, p))
     for i, c in enumerate(cols):
         x = F.col(_quote(c)).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), q(x, 0.25).alias(f"p25{i}"), q(x, 0.5).alias(f"p50{i}"),
-                 q(x, 0.75).alias(f"p75{i}"), F.max(x).alias(f"max{i}")]
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+        if approx:
+            aggs += [F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"pq{i}")]
     row = df.agg(*aggs)
-    return _unpivot_row(row, cols, ["n", "mean", "std", "min", "p25", "p50", "p75", "max"], []) \
-        .withColumnRenamed("n", "count")
+    if approx:
+        row = row.select("*", *[F.col(f"pq{i}")[j].alias(f"{n}{i}") for i in range(len(cols))
+                                for j, n in enumerate(["p25", "p50", "p75"])])
+        return _unpivot_row(row, cols, ["n", "mean", "std", "min", "p25", "p50", "p75", "max"], []) \
+            .withColumnRenamed("n", "count")
+    stats = _unpivot_row(row, cols, ["n", "mean", "std", "min", "max"], []).withColumnRenamed("n", "count")
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(_quote(c)).cast("double").alias("v")) for c in cols])))
+    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], keys=["column"]) \
+        .select("column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    return stats.join(q, "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def monthly_counts(df: DataFrame, month_col: str = "month") -> DataFrame:

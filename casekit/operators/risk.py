@@ -88,13 +88,18 @@ def resolution_time_describe(df: DataFrame, label: str = "priority", hours: str
                              closed: str = "closed_ts") -> DataFrame:
     """A6 (+F8): describe() of resolution hours per class over resolved cases.
 
-    The exact median/p75 keep one buffer entry per distinct hour value per
-    class; hour differences are whole hours here, so the buffer stays small.
+    Median and p75 are exact, from the distributed ``exact_quantiles`` (no
+    class is gathered in one task).
     """
+    from casekit.operators.quantiles import exact_quantiles
     x = F.col(hours)
-    return (df.where(F.col(closed).isNotNull() & F.col(label).isNotNull()).groupBy(label)
-            .agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                 F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.75).alias("p75"), F.max(x).alias("max")))
+    resolved = df.where(F.col(closed).isNotNull() & F.col(label).isNotNull())
+    stats = (resolved.groupBy(label)
+             .agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                  F.max(x).alias("max")))
+    q = exact_quantiles(resolved, hours, [0.5, 0.75], keys=[label]) \
+        .select(label, F.col("q0").alias("p50"), F.col("q1").alias("p75"))
+    return stats.join(q, label, "left").select(label, "count", "mean", "std", "p50", "p75", "max")
 
 
 def coordinate_stats_by_class(df: DataFrame, label: str = "priority", lat: str = "latitude",
