@@ -120,25 +120,24 @@ def detection_summary(pred: DataFrame, model: str = "model", positive: str = CRI
     })
 
 
-def _score_groups(pred: DataFrame, score: str, model: str, positive: str, hex_bins: int = 4096) -> DataFrame:
+def _score_groups(pred: DataFrame, score: str, model: str, positive: str, hex_bins: int = 1024) -> DataFrame:
     """(model, score) -> positives/negatives at that score, plus the counts of
     positives and negatives strictly *above* it.
 
     Running sums over all distinct scores of one model would be one task per
-    model. Instead: distinct scores fold map-side; scores are cut into
-    ``hex_bins`` monotone bins; bin totals (small) give each bin's offset; a
-    window per (model, bin) over distinct scores gives the rest.
+    model. Instead: distinct scores fold map-side; they are cut into
+    ``hex_bins`` monotone bins at approximate quantiles (balanced whatever the
+    score distribution); bin totals (small) give each bin's offset; a window
+    per (model, bin) over distinct scores gives the rest.
     """
     pos = F.col("label") == positive
     g = pred.groupBy(model, score).agg(F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
-    # monotone bin of the score within the model's own range
-    rng = g.groupBy(model).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    rng, _ = bounded_broadcast(rng, 1 << 16)
-    g = g.join(rng, model)
-    width = F.col("__hi") - F.col("__lo")
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(score) - F.col("__lo")) / width * hex_bins), F.lit(hex_bins - 1))).cast("int")
-    g = g.withColumn("__b", b).drop("__lo", "__hi")
+    # monotone, balanced bins: cut points are approximate quantiles of the model's distinct scores
+    cuts = g.groupBy(model).agg(F.array_sort(F.array_distinct(
+        F.percentile_approx(score, [i / hex_bins for i in range(1, hex_bins)], 10000))).alias("__cuts"))
+    cuts, _ = bounded_broadcast(cuts, 1 << 16)
+    g = g.join(cuts, model).withColumn("__b", F.size(F.filter(F.col("__cuts"), lambda b: b <= F.col(score)))) \
+        .drop("__cuts")
     bins = g.groupBy(model, "__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
     wb = Window.partitionBy(model).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(model, "__b", F.coalesce(F.sum("__bp").over(wb), F.lit(0)).alias("__op"),
