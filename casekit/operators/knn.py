@@ -367,7 +367,7 @@ def apply_knn_imputer(df: DataFrame, features: list[str], donors: DataFrame, k:
     Missing-value patterns are few (checked); each pattern is one exact kNN
     join.
     """
-    key_df = df.withColumn("__rid", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    key_df = cut_lineage(df.withColumn("__rid", F.monotonically_increasing_id()))
     miss = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in features])
     patterns = [r[0] for r in key_df.select(miss.alias("p")).where(F.col("p").contains("1")).distinct()
                 .limit(max_patterns + 1).collect()]
@@ -395,10 +395,11 @@ def apply_knn_imputer(df: DataFrame, features: list[str], donors: DataFrame, k:
             # mean over the k slots: a donor vector with several rows contributes its rows' mean per slot
             val = (nn.join(dv.select(F.col("vid").alias("pid"), (F.col("__sum") / F.col("cnt")).alias("__m")), "pid")
                    .groupBy("qid").agg((F.sum(F.col("__m") * F.col("take")) / F.sum("take")).alias(f"__imp_{c}")))
-            part = (part.withColumn("qid", _vid(obs)).join(val, "qid", "left")
-                    .withColumn(c, F.coalesce(F.col(f"__imp_{c}"), F.lit(means[c]))).drop("qid", f"__imp_{c}"))
+            part = cut_lineage(part.withColumn("qid", _vid(obs)).join(val, "qid", "left")
+                               .withColumn(c, F.coalesce(F.col(f"__imp_{c}"), F.lit(means[c])))
+                               .drop("qid", f"__imp_{c}"))
         filled_parts.append(part)
     res = filled_parts[0]
     for p in filled_parts[1:]:
         res = res.unionByName(p, allowMissingColumns=True)
-    return res.drop("__rid")
+    return cut_lineage(res.drop("__rid"))
