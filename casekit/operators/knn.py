@@ -4,19 +4,20 @@ imputation (I4), SMOTE (B4), SMOTE + Wilson editing (B5) and ADASYN (B6).
 How the join stays exact without comparing all pairs
 ----------------------------------------------------
 1. Duplicate vectors are collapsed first: donors are *distinct* vectors with
-   a multiplicity ``cnt``. (Case features are mostly 0/1 flags and small
-   integers, so this removes most rows.)
-2. Every vector gets a 1-D projection ``proj = w . x`` on a fixed unit vector
-   ``w``. For any two points ``|proj(p) - proj(q)| <= ||p - q||``.
-3. Donors are cut into slabs of about ``slab_size`` distinct vectors by
-   approximate quantiles of ``proj`` (per group); the quantiles only balance
-   the slabs, they do not affect the result.
-4. Round 1: each query meets the donors of its own slab (an equi-join on
-   (group, slab): at most ``slab_size`` candidates per query). The running
-   sum of multiplicities in distance order gives the k-th distance ``r``.
-5. Round 2: any donor closer than ``r`` lies in a slab overlapping
-   ``[proj - r, proj + r]``; exactly those slabs are joined in and the top k
-   is taken again. No pair outside that band is ever formed.
+   a multiplicity ``cnt`` (case features are mostly 0/1 flags and small
+   integers, so this removes most rows).
+2. A k-d split on the feature axes with the largest spread: every level cuts
+   each parent cell at its own approximate quantiles, so leaves hold about
+   ``slab_size`` distinct vectors. The quantiles only balance the cells; they
+   do not affect the result.
+3. Round 1: each query meets the donors of its own leaf (an equi-join); the
+   running sum of multiplicities in distance order gives the k-th distance
+   ``r``, an upper bound of the true one.
+4. Round 2: since ``|x_a - y_a| <= ||x - y||`` on every axis, any donor closer
+   than ``r`` lies in a leaf overlapping the box ``x +- r``; exactly those
+   leaves are joined, pairs farther than ``r`` are dropped, and a partial
+   top-k per (query, leaf) runs inside the join's partitions before the one
+   per-query shuffle.
 
 Randomness (which row is the base of a synthetic sample, which neighbour, the
 interpolation gap) is a hash of (key, sample index, seed): reproducible on
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,26 +39,6 @@ from casekit.session import cut_lineage
 INF = float("inf")
 
 
-def _unit_axes(d: int, seed: int, n_axes: int = 2) -> list[list[float]]:
-    """``n_axes`` orthonormal random directions (Gram-Schmidt on seeded normals)."""
-    rng = np.random.default_rng(seed)
-    axes = []
-    for _ in range(min(n_axes, d)):
-        v = rng.standard_normal(d)
-        for a in axes:
-            v = v - np.dot(v, a) * a
-        axes.append(v / np.linalg.norm(v))
-    return [[float(x) for x in a] for a in axes]
-
-
-def _proj(features: list[str], w: list[float]) -> Column:
-    e = None
-    for c, wi in zip(features, w):
-        t = F.col(c).cast("double") * F.lit(wi)
-        e = t if e is None else e + t
-    return e
-
-
 def _dist(features: list[str], a: str, b: str) -> Column:
     s = None
     for c in features:
