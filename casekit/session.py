@@ -41,15 +41,20 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there). Only when it is unset -- local tests -- a scratch folder is
-    created and registered.
+    A folder the caller set on the context stays; else ``spark.checkpoint.dir`` (the
+    cluster names a shared folder there) is registered. With neither, a scratch
+    folder is made on a ``local[...]`` master only, where driver and executors
+    share their disk; a cluster without a shared folder is an error.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir():
+        return d or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="casekit-ckpt-", dir=os.environ.get("CASEKIT_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
 
 
