@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casekit.llm import fingerprint, mixing, pii, quality, tokens, urls, warc
+from casekit.llm import decontaminate, fingerprint, lines, mixing, neardup, pii, quality, tokens, urls, warc
 from casekit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +27,21 @@ def op1_mix_sources(spark, sf_dir):
     return m.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query
+def op2_benchmark_simhash(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_scaled_sketch(spark, sf_dir):
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_fuzzy_lines(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_quality_ngrams(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -102,3 +112,8 @@ WITH p AS (
 SELECT s.page_id, s.host, s.path, best.rule, coalesce(best.kind, 'allow') AS verdict
 FROM s LEFT JOIN best USING (page_id)
 """
+
+
+@query
+def op10_chosen_path(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
