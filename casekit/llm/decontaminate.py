@@ -59,12 +59,12 @@ def shingles(w: Column, k: int) -> Column:
 def simhash(df: DataFrame, key: list[str], hashes: str) -> DataFrame:
     """``key`` and ``fp``: the majority of each of 63 bits over the array of hashes, repeats counted."""
     sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(_LANES)).alias(f"s{b}") for b in range(_LANE)]
-    s = df.select(*key, F.explode(hashes).alias("h")).groupBy(*key).agg(F.count("*").alias("n"), *sums)
+    s = df.select(*key, F.explode(hashes).alias("h")).groupBy(*key).agg(F.count("*").alias("_all"), *sums)
     mask = (1 << _LANE) - 1
 
     def bit(b: int) -> Column:
         total = F.shiftrightunsigned(f"s{b % _LANE}", b // _LANE * _LANE).bitwiseAND(mask)
-        return F.when(2 * total > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0).cast("long"))
+        return F.when(2 * total > F.col("_all"), F.lit(1 << b)).otherwise(F.lit(0).cast("long"))
 
     return s.select(*key, reduce(Column.bitwiseOR, [bit(b) for b in range(BITS)]).alias("fp"))
 
@@ -89,7 +89,8 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Da
     d = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 
     at = d.select("row", words(F.col("text")).alias("w"))
-    at = at.select("row", "w", F.posexplode("w").alias("pos", "_")).select(
+    # outer: else a filter on the words' number is put below, which splits every text twice
+    at = at.select("row", "w", F.posexplode_outer("w").alias("pos", "_")).select(
         "row", "pos", shingle(F.col("w"), F.col("pos"), k).alias("h"), (F.col("pos") <= F.size("w") - k).alias("whole"))
     hits = at.where("whole").join(maybe_broadcast(bench), "h").groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("pos", "sizes"))).alias("hits"))
@@ -102,7 +103,8 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Da
     hits = cut_lineage(hits.select("row", starts.alias("starts")).where(F.size("starts") > 0))
 
     x = d.join(maybe_broadcast(hits.select("row")), "row", "left_semi").dropDuplicates(["row"]).join(hits, "row")
-    x = x.select("doc_id", "starts", shingles(words(F.col("text")), k).alias("hs"))
+    x = x.select("doc_id", "starts", words(F.col("text")).alias("w"))
+    x = x.select("doc_id", "starts", shingles(F.col("w"), k).alias("hs"))
     x = x.select("doc_id", "hs", F.explode("starts").alias("s"))
     x = x.select("doc_id", F.col("s.pos").alias("pos"), F.col("s.n").alias("n"),
                  F.slice("hs", F.col("s.pos") + 1, F.col("s.n")).alias("win"))

@@ -56,8 +56,9 @@ def normalized(line: Column) -> Column:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` (from 0), ``line`` (normalized), ``id`` (its hash; null for blank lines)."""
-    x = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    x = x.select("doc_id", "line_no", normalized(F.col("raw")).alias("line"))
+    # outer: else a filter on the lines' number is put below, which splits every text twice
+    x = docs.select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    x = x.where("line_no IS NOT NULL").select("doc_id", "line_no", normalized(F.col("raw")).alias("line"))
     return x.withColumn("id", F.when(F.rlike("line", F.lit(r"\S")), F.xxhash64("line")))
 
 
@@ -70,7 +71,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 8)
     """One row per line: ``doc_id, line_no``, the place of the first line of its component
     (``rep_doc_id, rep_line_no``) and ``kept``."""
     lines = line_table(docs)
-    sig = lines.where("id IS NOT NULL").select("id", F.explode(F.regexp_extract_all(
+    sig = lines.where("id IS NOT NULL").select("id", F.explode_outer(F.regexp_extract_all(
         "line", F.lit(_ANCHOR), F.lit(1))).alias("s")).select("id", F.hash("s").alias("h"))
     sig = sig.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}")
                                   for i, c in enumerate(_constants(16))])
