@@ -67,6 +67,14 @@ def exact_set(line: Column) -> Column:
         F.array_distinct(F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1))))
 
 
+def exact_similarity(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two lines' shingle sets; the lambda holds the sets, so each is made once."""
+    sets = F.array(F.struct(exact_set(x).alias("x"), exact_set(y).alias("y")))
+    counts = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"),
+                                                  (F.size(s["x"]) + F.size(s["y"])).alias("all")))
+    return F.element_at(F.transform(counts, lambda c: c["both"] / (c["all"] - c["both"])), 1)
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 8) -> DataFrame:
     """One row per line: ``doc_id, line_no``, the place of the first line of its component
     (``rep_doc_id, rep_line_no``) and ``kept``."""
@@ -94,9 +102,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 8)
                            .groupBy("id").agg(F.first("line").alias("line")))
         p = (pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
              .join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
-        p = p.select("a", "b", exact_set(F.col("x")).alias("x"), exact_set(F.col("y")).alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return p.where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+        return p.where(exact_similarity(F.col("x"), F.col("y")) >= similarity - 1e-9).select("a", "b")
 
     labels = link_components(two.union(more), children, verify, small)
     place = cut_lineage(line_table(docs).select("doc_id", "line_no", "id"))
