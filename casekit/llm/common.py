@@ -17,7 +17,7 @@ from casekit.session import checkpoint_dir, cut_lineage
 
 #: Largest table, in bytes as estimated by ``small_enough``, that an operator
 #: broadcasts. Larger ones are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +60,10 @@ def components(edges: DataFrame) -> DataFrame:
     every id that an edge to another id names. Alternates large-star and
     small-star steps until the edges are stars; each step is two grouped
     minimums and joins, checkpointed, so hub ids need no list in one task
-    and nothing reaches the driver but a fingerprint of the edges.
+    and nothing reaches the driver but whether it is done.
     """
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .distinct())
-    last = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -73,21 +72,24 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == last:
+        # stars: an id is a centre or has exactly one
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(
+            e.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("out").alias("o"), F.max("in").alias("i")).where("o > 1 OR o = 1 AND i = 1").isEmpty():
             break
-        last = now
     star = e.groupBy("u").agg(F.min("v").alias("component"))
     return star.select(F.col("u").alias("id"), "component").union(
         star.select(F.col("component").alias("id"), "component").distinct())
 
 
 def link_components(rows: DataFrame, branch: Callable[[DataFrame, int], DataFrame],
-                    verify: Callable[[DataFrame], DataFrame], small: int = 8) -> DataFrame | None:
+                    verify: Callable[[DataFrame], DataFrame], small: int = 32,
+                    ratio: float = 0.0) -> DataFrame | None:
     """Components of the verified links between ids that meet in a node.
 
-    ``rows(node, id)`` says which ids meet. ``verify`` takes candidate pairs
-    ``(a, b)`` with a < b, each once, and returns those that are links. Per node:
+    ``rows(node, id, size)`` says which ids meet, each at most once in a node; pairs whose smaller ``size``
+    is below ``ratio`` of the larger can't be links. ``verify`` takes candidate pairs ``(a, b)`` with
+    a < b, each once, and returns those that are links. Per node:
 
     * all ids in one component already: done, links inside change nothing;
     * at most ``small`` ids outside its largest component: each of them is
@@ -99,44 +101,58 @@ def link_components(rows: DataFrame, branch: Callable[[DataFrame, int], DataFram
     A group of near copies of any size thus ends after one round of pivot links,
     without its pairs. Returns ``(id, component)`` for linked ids, None without any.
     """
-    edges, labels, level, seen = None, None, 0, None
+    labels, level, seen = None, 0, None
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    def alike(x: str, y: str) -> Column:
+        return F.least(x, y) >= ratio * F.greatest(x, y)
+
     while True:
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-        rows = cut_lineage(rows.join(nodes, "node"))
-        if rows.isEmpty():
-            return labels
-        r = rows.withColumn("comp", F.col("id"))
-        if labels is not None:
-            r = (rows.join(labels.withColumnRenamed("component", "c"), "id", "left")
-                 .select("node", "id", F.coalesce("c", "id").alias("comp")))
-        parts = r.groupBy("node", "comp").agg(F.count("*").alias("n"))
-        nodes = (parts.groupBy("node")
-                 .agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("top"))
-                 .where("k > 1").select("node", "n", F.col("top.comp").alias("main"),
-                                        (F.col("n") - F.col("top.n") <= small).alias("small")))
+        if labels is None:  # every id is a component
+            r = rows.withColumn("comp", F.col("id"))
+            nodes = (rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("main")).where("n > 1")
+                     .select("node", "main", (F.col("n") - 1 <= small).alias("small")))
+        else:
+            r = (rows.join(maybe_broadcast(labels.withColumnRenamed("component", "c")), "id", "left")
+                 .select("node", "id", "size", F.coalesce("c", "id").alias("comp")))
+            parts = r.groupBy("node", "comp").agg(F.count("*").alias("n"))
+            nodes = (parts.groupBy("node")
+                     .agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("top"))
+                     .where("k > 1").select("node", F.col("top.comp").alias("main"),
+                                            (F.col("n") - F.col("top.n") <= small).alias("small")))
         r = cut_lineage(r.join(nodes, "node"))
+        met, large = r.agg(F.count("*"), F.bool_or(~F.col("small"))).first()
+        if not met:
+            return labels
         few, many = r.where("small"), r.where("NOT small")
-        out = few.where("comp <> main").select("node", F.col("id").alias("o"), F.col("comp").alias("oc"))
+        out = few.where("comp <> main").select("node", F.col("id").alias("o"), F.col("comp").alias("oc"),
+                                               F.col("size").alias("osize"))
         # a pair outside the main component is met from both ends; distinct() below keeps it once
-        pairs = few.join(out, "node").where("comp <> oc").select(
-            F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
-        pivots = many.groupBy("node").agg(F.min_by(F.struct("id", "comp"), seeded("node", "id")).alias("p"))
-        star = many.join(pivots, "node").where("comp <> p.comp").select(
-            F.least("id", F.col("p.id")).alias("a"), F.greatest("id", F.col("p.id")).alias("b"))
-        pairs = pairs.union(star).distinct()
+        pairs = few.join(out, "node").where((F.col("comp") != F.col("oc")) & alike("size", "osize")).select(
+            *pair("id", "o"))
+        if large:
+            pivots = many.groupBy("node").agg(
+                F.min_by(F.struct("id", "comp", "size"), seeded("node", "id")).alias("p"))
+            pivots = pivots.select("node", F.col("p.id").alias("o"), F.col("p.comp").alias("oc"),
+                                   F.col("p.size").alias("osize"))
+            pairs = pairs.union(many.join(pivots, "node").where(
+                (F.col("comp") != F.col("oc")) & alike("size", "osize")).select(*pair("id", "o")))
+        pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         if not pairs.isEmpty():
+            seen = pairs if seen is None else seen.union(pairs)
             new = cut_lineage(verify(pairs).select("a", "b"))
-            seen = pairs if seen is None else cut_lineage(seen.union(pairs))
             if not new.isEmpty():
-                edges = new if edges is None else cut_lineage(edges.union(new))
-                labels = cut_lineage(components(edges))
-        if many.isEmpty():
+                known = new if labels is None else new.union(labels)
+                labels = cut_lineage(components(known))
+        if not large:
             return labels
         level += 1
-        rows = branch(many.select("node", "id"), level)
+        rows = branch(many.select("node", "id", "size"), level)
 
 
 # ---- distributed rank --------------------------------------------------------

@@ -28,6 +28,8 @@ from casekit.session import cut_lineage
 
 SIMILARITY = 0.8
 SHINGLE, ANCHORED = 8, 10
+#: Pairs with fewer equal minwise values (of 16; a pair at SIMILARITY has 12.8 on average) are not compared.
+LEAST_EQUAL = 6
 #: The characters from the start of a word, or of any character of a script without spaces.
 _ANCHOR = rf"(?:(?<!\S)|(?=[⺀-鿿가-힯]))(?=(\S.{{0,{ANCHORED - 1}}}))"
 _EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
@@ -75,7 +77,7 @@ def exact_similarity(x: Column, y: Column) -> Column:
     return F.element_at(F.transform(counts, lambda c: c["both"] / (c["all"] - c["both"])), 1)
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 32) -> DataFrame:
     """One row per line: ``doc_id, line_no``, the place of the first line of its component
     (``rep_doc_id, rep_line_no``) and ``kept``."""
     lines = line_table(docs)
@@ -90,21 +92,25 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 8)
                       .where("n > 1"))
     two = met.where("n = 2").select("node", F.explode(F.array("a", "b")).alias("id"))
     more = rows.join(maybe_broadcast(met.where("n > 2").select("node")), "node", "left_semi").select("node", "id")
+    rows = cut_lineage(two.union(more).withColumn("size", F.lit(0)))
+    need = cut_lineage(rows.select("id").distinct())
+    text = cut_lineage(lines.select("id", "line").join(maybe_broadcast(need), "id", "left_semi")
+                       .groupBy("id").agg(F.first("line").alias("line")))
+    values = F.array(*[F.col(f"m{j}") for j in range(16)])
 
     def children(r, level):
-        pick = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(16))
-        value = F.element_at(F.array(*[F.col(f"m{j}") for j in range(16)]), (pick + 1).cast("int"))
-        return r.join(sig, "id").select(F.xxhash64("node", value).alias("node"), "id")
+        pick = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(16)).cast("int")
+        return r.join(sig, "id").select(F.xxhash64("node", F.get(values, pick)).alias("node"), "id", "size")
 
     def verify(pairs):
-        need = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        text = cut_lineage(lines.select("id", "line").join(maybe_broadcast(need), "id", "left_semi")
-                           .groupBy("id").agg(F.first("line").alias("line")))
-        p = (pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-             .join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
-        return p.where(exact_similarity(F.col("x"), F.col("y")) >= similarity - 1e-9).select("a", "b")
-
-    labels = link_components(two.union(more), children, verify, small)
+        full = sig.select("id", values.alias("v")).join(text, "id")
+        p = (pairs.join(full.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("v").alias("vx")), "a")
+             .join(full.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("v").alias("vy")), "b"))
+        equal = F.size(F.filter(F.zip_with("vx", "vy", lambda x, y: x == y), lambda x: x))
+        return p.where(equal >= LEAST_EQUAL).where(
+            exact_similarity(F.col("x"), F.col("y")) >= similarity - 1e-9).select("a", "b")
+
+    labels = link_components(rows, children, verify, small)
     place = cut_lineage(line_table(docs).select("doc_id", "line_no", "id"))
     place = place.withColumn("comp", F.col("id"))
     if labels is not None:

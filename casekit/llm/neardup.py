@@ -132,7 +132,7 @@ def confirm(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     return texts.select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, small: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, small: int = 32) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     d = cut_lineage(sketches(docs))
     groups = cut_lineage(d.where("n > 0").groupBy("sid").agg(
@@ -156,18 +156,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
 
     def children(rows, level):
         rows = rows.withColumn("i", F.explode(F.array_distinct(chosen(F.col("node"), level))))
-        return rows.select(F.xxhash64("node", "i", F.get("sig", F.col("i"))).alias("node"), "id")
+        return rows.select(F.xxhash64("node", "i", F.get("sig", F.col("i"))).alias("node"), "id",
+                           F.col("n").alias("size"))
 
     sets = classes.select(F.col("k").alias("id"), "n", "sig")
-    roots = sets.select("id", "sig", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
-    rows = children(roots.select(F.xxhash64(F.lit("tree"), "tree").alias("node"), "id", "sig"), 0)
+    roots = sets.select("id", "n", "sig", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
+    rows = children(roots.select(F.xxhash64(F.lit("tree"), "tree").alias("node"), "id", "n", "sig"), 0)
 
     def verify(pairs):
         p = (pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-             .join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-             .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+             .join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b"))
         equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
         p = cut_lineage(p.where((F.least("na", "nb") < ESTIMATE_FROM) | (equal >= LEAST_EQUAL)).select("a", "b"))
+        if p.isEmpty():
+            return p
         need = cut_lineage(p.select(F.col("a").alias("k")).union(p.select("b")).distinct()
                            .join(classes.select("k", "id", "th"), "k"))
         text = cut_lineage(_with_key(docs).join(maybe_broadcast(need), ["id", "th"]).select("k", "text")
@@ -176,8 +178,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
              .join(text.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a"))
         return confirm(p, percent)
 
-    labels = link_components(rows, lambda r, level: children(r.join(sets.select("id", "sig"), "id"), level),
-                             verify, small)
+    labels = link_components(rows, lambda r, level: children(r.join(sets.select("id", "n", "sig"), "id"), level),
+                             verify, small, percent / 100)
     other = cut_lineage(classes.where("copies > 1 OR k <> id").select("sid", "k", F.col("id").alias("rep")))
     d = (d.join(maybe_broadcast(other), "sid", "left")
          .withColumns({"k": F.coalesce("k", "id"), "component": F.coalesce("rep", "id")}).drop("rep"))
