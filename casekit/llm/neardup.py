@@ -146,18 +146,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
         F.col("first") < F.col("th"), F.lit(_NO_ID) + F.pmod(F.xxhash64("id", "th"), F.lit(_NO_ID))).otherwise(F.col("id")))
     if not shared.isEmpty():
         classes = cut_lineage(classes)
-    extra = 100 - percent  # second coordinate in so many of 100 nodes: 1 / similarity on average
-    extra = round(100 * extra / percent)
-
-    def chosen(node, level):
-        two = F.pmod(F.xxhash64(F.lit(level), F.lit(1), node), F.lit(100)) < extra
-        pick = lambda salt: F.pmod(F.xxhash64(F.lit(level), F.lit(salt), node), F.lit(COORDINATES)).cast("int")
-        return F.when(two, F.array(pick(2), pick(3))).otherwise(F.array(pick(2)))
-
     def children(rows, level):
-        rows = rows.withColumn("i", F.explode(F.array_distinct(chosen(F.col("node"), level))))
-        return rows.select(F.xxhash64("node", "i", F.get("sig", F.col("i"))).alias("node"), "id",
-                           F.col("n").alias("size"))
+        # the roots choose one coordinate a child, deeper nodes two at once; a node has 1 / (chance that a pair
+        # at the threshold shares a child) children on average: one, and a second in ``extra`` of 100 nodes
+        width = 1 if level == 0 else 2
+        extra = round(100 / (percent / 100) ** width - 100)
+        pick = lambda salt: F.pmod(F.xxhash64(F.lit(level), F.lit(salt), "node"), F.lit(COORDINATES)).cast("int")
+        child = lambda c: F.xxhash64(F.lit(c), "node", *[F.get("sig", pick(2 * c + w)) for w in range(width)])
+        two = F.pmod(F.xxhash64(F.lit(level), F.lit(-1), "node"), F.lit(100)) < extra
+        nodes = F.when(two, F.array(child(0), child(1))).otherwise(F.array(child(0)))
+        return rows.select(F.explode(nodes).alias("node"), "id", F.col("n").alias("size"))
 
     sets = classes.select(F.col("k").alias("id"), "n", "sig")
     roots = sets.select("id", "n", "sig", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
