@@ -92,8 +92,8 @@ def link_components(rows: DataFrame, branch: Callable[[DataFrame, int], DataFram
     a < b, each once, and returns those that are links. Per node:
 
     * all ids in one component already: done, links inside change nothing;
-    * at most ``small`` ids outside its largest component: each of them is
-      compared with every id of the node in another component, so pairs grow
+    * at most ``small`` ids outside its largest component (three times as many with each level): each
+      of them is compared with every id of the node in another component, so pairs grow
       linearly with the node;
     * else: every id is compared with one pivot, and ``branch(rows, level)``
       divides the node into smaller ones, where this repeats.
@@ -151,7 +151,7 @@ def link_components(rows: DataFrame, branch: Callable[[DataFrame, int], DataFram
                 labels = cut_lineage(components(known))
         if not large:
             return labels
-        level += 1
+        level, small = level + 1, 3 * small
         rows = branch(many.select("node", "id", "size"), level)
 
 
