@@ -53,9 +53,8 @@ def op6_warc_transactions(spark, sf_dir):
     full = F.col("response.type") == "response"
     return c.select(
         F.col("metadata.page_id").alias("page_id"),
-        F.when(full, F.length("response.payload")).otherwise(F.col("metadata.payload_length")).cast("long")
-        .alias("payload_bytes"),
-        F.when(full, F.sha2("response.payload", 256)).otherwise(F.col("response.digest")).alias("payload_digest"),
+        F.when(full, F.col("response.length")).otherwise(F.col("metadata.payload_length")).alias("payload_bytes"),
+        F.when(full, F.col("response.sha256")).otherwise(F.col("response.digest")).alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("refers_to"),
         F.col("request.record_id").isNotNull().alias("has_request"))
 

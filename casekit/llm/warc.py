@@ -20,10 +20,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import new_folder, one_task_each, open_fs, write_parts
+from casekit.llm.common import maybe_broadcast, new_folder, one_task_each, open_fs, write_parts
 from casekit.session import cut_lineage
 
 #: Shorter payloads are always written in full.
@@ -76,7 +77,7 @@ def capture_records(key: str, page_id: int | None, url: str | None, payload: byt
 def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) -> DataFrame:
     """Writes a capture per row of ``pages(page_id, url, html)``. Of captures with equal payloads of at
     least ``least`` bytes that with the smallest id is the response, the others revisit it.
-    Returns the manifest ``part, path, n_records``."""
+    Every input partition writes its own archive. Returns the manifest ``part, path, n_records``."""
     body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     p = pages.select(F.col("page_id").cast("long"), "url", body.alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
@@ -84,26 +85,21 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_BYTES) ->
     # digests and ids are grouped, so a payload that a third of the pages has is folded map-side
     seen = (p.where(F.length("payload") >= least).groupBy("digest")
             .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    p = p.join(cut_lineage(seen), "digest", "left")
+    p = p.join(maybe_broadcast(cut_lineage(seen)), "digest", "left")
     refers = F.when((F.length("payload") >= least) & (F.col("page_id") > F.col("first")), F.col("first"))
     p = p.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
     def part(out, batches):
-        n, same = 0, {}
+        n, here = 0, TaskContext.get().partitionId()
         for b in batches:
             for r in b.to_pylist():
-                key = f"{r['page_id']}\x00{r['url']}\x00{r['digest']}"
-                same[key] = same.get(key, 0) + 1  # repeated rows stand in one part, beside each other
-                if len(same) > 1:
-                    same = {key: same[key]}
-                for x in capture_records(f"{key}\x00{same[key]}", r["page_id"], r["url"], r["payload"], r["digest"],
-                                         r["refers_to"]):
+                # part and place tell repeated rows apart; a repeated task reads the same rows in the same order
+                key = f"{r['page_id']}\x00{r['url']}\x00{r['digest']}\x00{here}\x00{n}"
+                for x in capture_records(key, r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"]):
                     out.write(x)
                     n += 1
         return (n,)
 
-    order = ["page_id", "url", "digest"]
-    p = p.repartition(*order).sortWithinPartitions(*order)
     return write_parts(p, folder, ".warc.gz", part, "n_records long")
 
 
@@ -182,13 +178,13 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: ``record_id, target_uri, response{type, digest, payload, refers_to},
-    request{record_id, block}, metadata{record_id, page_id, payload_length}``. The request and metadata records
+    """One nested row per capture: ``record_id, target_uri, response{type, digest, payload, length, sha256,
+    refers_to}, request{record_id, block}, metadata{record_id, page_id, payload_length}``. The request and metadata records
     are joined to the response or revisit record that their concurrent-to id names."""
     top = records.where(F.col("warc_type").isin("response", "revisit")).select(
         "record_id", "target_uri", F.struct(
             F.col("warc_type").alias("type"), F.regexp_extract("payload_digest", "^sha256:(.*)$", 1).alias("digest"),
-            "payload",
+            "payload", F.length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("sha256"),
             F.regexp_extract("refers_to", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long").alias("refers_to")
         ).alias("response"))
     field = lambda name: F.regexp_extract(F.decode("block", "UTF-8"), rf"(?m)^{name}: (-?[0-9]+)\r?$", 1).try_cast("long")
