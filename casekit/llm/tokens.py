@@ -36,7 +36,7 @@ from casekit.llm.common import new_folder, one_task_each, open_fs, write_parts
 #: Fixed values of the zstandard formats.
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK_TABLE, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Distinct words whose ids a worker remembers before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 #: Fixed value: pre-tokenizer that drops white space and treats the words between on their own.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin letters and then ASCII punctuation: two pre-tokens of that pattern.
@@ -44,6 +44,18 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _folded(text: str) -> str:
+    """The text in lower case, where that changes no id: the tokenizer lowers each character of Latin-1
+    alike, but looks for special tokens before."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     """Texts to packed ids. If the tokenizer treats words between white space on their own, ids are
     looked up per word and the library sees each new word once; else it gets whole texts."""
@@ -55,7 +67,8 @@ class Encoder:
         spec = json.loads(self.tok.to_str())
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_word = (steps[0].get("pattern") == {"Regex": WORD_PATTERN} and steps[0].get("invert") is True
-                        and spec["model"].get("end_of_word_suffix") == "</w>")
+                        and spec["model"].get("end_of_word_suffix") == "</w>"
+                        and '"Lowercase"' in json.dumps(spec.get("normalizer")))
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -68,21 +81,35 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         if len(self.words) > MEMO_WORDS:
             self.words, self.parts = {}, {"": b""}
-        split = {w: m.groups() for w in new if (m := _SIMPLE.fullmatch(w))}
-        letters = list({a.lower() for a, _ in split.values()} - self.parts.keys())
+        simple, rest, letters, marks, parts = [], [], set(), set(), self.parts
+        for w in new:
+            if w.isascii() and w.isalpha():
+                a, b = w.lower(), ""
+            elif m := _SIMPLE.fullmatch(w):
+                a, b = m[1].lower(), m[2]
+                if b not in parts:
+                    marks.add(b)
+            else:
+                rest.append(w)
+                continue
+            simple.append((w, a, b))
+            if a not in parts:
+                letters.add(a)
         if letters:  # each is one pre-token, whose last id is an end of word
+            letters = list(letters)
             ids = np.array(self.tok.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cut) == len(letters):
-                self.parts.update(zip(letters, (x.tobytes() for x in np.split(ids, cut[:-1]))))
+                data = ids.tobytes()
+                parts.update(zip(letters, [data[x:y] for x, y in zip([0, *cut], cut)]))
             else:
-                self.parts.update(zip(letters, self._library(letters)))
-        marks = list({b for _, b in split.values()} - self.parts.keys())
-        self.parts.update(zip(marks, self._library(marks)))
-        for w, (a, b) in split.items():
-            self.words[w] = self.parts[a.lower()] + self.parts[b]
-        rest = [w for w in new if w not in split]
-        self.words.update(zip(rest, self._library(rest)))
+                parts.update(zip(letters, self._library(letters)))
+        marks = list(marks)
+        parts.update(zip(marks, self._library(marks)))
+        words = self.words
+        for w, a, b in simple:
+            words[w] = parts[a] + parts[b] if b else parts[a]
+        words.update(zip(rest, self._library(rest)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
@@ -90,7 +117,7 @@ class Encoder:
             if not self.by_word:
                 yield from self._library(some)
                 continue
-            split = [t.replace("\n", " ").split(" ") for t in some]
+            split = [_folded(t).replace("\n", " ").split(" ") for t in some]
             new = list(set().union(*split) - self.words.keys())
             if new:
                 self._learn(new)
