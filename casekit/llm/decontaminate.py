@@ -134,7 +134,7 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Da
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and benchmark item it holds: the best window's ``similarity``, ``start_word``
     and ``n_words``."""
-    items = (benchmark.dropDuplicates(["item_id"]).withColumn("w", words(F.col("text")))
+    items = (benchmark.select("item_id", "text").dropDuplicates(["item_id"]).withColumn("w", words(F.col("text")))
              .withColumn("k", F.least(F.size("w"), F.lit(WORDS))).where("k > 0"))
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most WORDS values
     out = None
@@ -153,4 +153,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     bad = cut_lineage(contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(maybe_broadcast(bad), docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")

@@ -101,6 +101,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
     ids = d.select("doc_id").withColumn("_k", key)
     limits = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("_k", [i / n for i in range(1, n)], 0.2 / n)))
+    limits = limits or [0.0]  # a Bucketizer needs one inner limit
     cut = Bucketizer(splits=[float("-inf"), *limits, float("inf")], inputCol="_k", outputCol="_b")
     place = (F.lit(len(limits)) - F.col("_b")).cast("int").alias("place")  # 0 holds the largest ids
     firsts = (cut.transform(ids).select("doc_id", place).groupBy("place").agg(F.max("doc_id").alias("first"))

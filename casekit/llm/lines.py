@@ -128,6 +128,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 32
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, text`` with the dropped lines taken out."""
     gone = dedup_lines(docs, **options).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    d = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    docs, gone = docs.select("doc_id", "text"), gone.withColumnRenamed("doc_id", "gone_id")
+    d = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left")
     stay = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
     return d.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"))

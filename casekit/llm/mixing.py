@@ -129,5 +129,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(
         F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies"))
     taken = cut_lineage(taken.where("_copies > 0"))
-    return (docs.join(maybe_broadcast(taken), F.col("doc_id").eqNullSafe(F.col("_id")))
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns])
+    return (docs.join(maybe_broadcast(taken), docs["doc_id"].eqNullSafe(taken["_id"]))
+            .select(F.explode(F.array_repeat(row, taken["_copies"])).alias("row")).select("row.*"))

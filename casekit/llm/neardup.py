@@ -197,9 +197,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group. Of rows that repeat an id only one stays."""
     n = near_duplicates(docs, **options)
     gone = cut_lineage(n.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
-    out = docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    out = docs.join(maybe_broadcast(gone), docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
     twice = cut_lineage(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
                         .where("_id IS NOT NULL").select("_id"))
-    again = out.join(maybe_broadcast(twice), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    once = out.join(maybe_broadcast(twice), F.col("doc_id") == F.col("_id"), "left_anti")
-    return once if twice.isEmpty() else once.unionByName(again)
+    if twice.isEmpty():
+        return out
+    same = out["doc_id"] == twice["_id"]
+    again = out.join(maybe_broadcast(twice), same, "left_semi").dropDuplicates(["doc_id"])
+    return out.join(maybe_broadcast(twice), same, "left_anti").unionByName(again)
