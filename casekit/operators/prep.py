@@ -92,24 +92,29 @@ def apply_standard(df: DataFrame, stats: DataFrame) -> DataFrame:
 def f_classif(train: DataFrame, cols: list[str], label: str) -> DataFrame:
     """One-way ANOVA F statistic of each numeric feature against the class.
 
-    One pass: per (class) count, sum and sum of squares of every feature,
-    then per feature F = (SSB / (k - 1)) / (SSW / (n - k)).
+    NULLs take the feature's median over the labelled rows, as in training. Then one
+    pass: per class count, mean and variance of every feature, and per feature
+    F = (SSB / (k - 1)) / (SSW / (n - k)). Means and variances, unlike sums of
+    squares, do not cancel. A feature without any value scores NULL.
     """
+    rows = train.where(F.col(label).isNotNull())
+    median = {r.feature: r.value for r in fit_median(rows, cols).collect()}  # one row per feature
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
-        x = F.col(_q(c)).cast("double")
-        aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    per_class = train.where(F.col(label).isNotNull()).groupBy(label).agg(*aggs)
+        x = F.coalesce(F.col(_q(c)).cast("double"), F.lit(median[c]).cast("double"))
+        aggs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+    per_class = rows.groupBy(label).agg(*aggs)
     long = per_class.select("n", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("q"))
+        F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"))
         for i, c in enumerate(cols)])))
     g = long.groupBy("feature").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss_class"))
-    ssb = F.col("ss_class") - F.col("s") * F.col("s") / F.col("n")
-    ssw = F.col("q") - F.col("ss_class")
-    f = (ssb / (F.col("k") - 1)) / (ssw / (F.col("n") - F.col("k")))
-    return g.select("feature", F.when(ssw > 0, f).alias("f_score"))
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("v")).alias("ssw"),
+        F.collect_list(F.struct("n", "m")).alias("means"))  # one per class
+    mean = F.aggregate("means", F.lit(0.0), lambda a, x: a + x["n"] * x["m"]) / F.col("n")
+    g = g.withColumn("mean", mean)
+    ssb = F.aggregate("means", F.lit(0.0), lambda a, x: a + x["n"] * (x["m"] - F.col("mean")) * (x["m"] - F.col("mean")))
+    f = (ssb / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k")))
+    return g.select("feature", F.when((F.col("ssw") > 0) & (F.col("k") > 1), f).alias("f_score"))
 
 
 def select_k_best(scores: DataFrame, k: int = 12) -> DataFrame:

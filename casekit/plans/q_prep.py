@@ -191,18 +191,22 @@ def _anova_src(spark, sf):
 
 
 def _anova_sql(top: int | None) -> str:
-    per_class = ("SELECT descriptor, count(*) AS n, " + ", ".join(
-        f"sum(CAST({c} AS DOUBLE)) AS s_{c}, sum(CAST({c} AS DOUBLE) * CAST({c} AS DOUBLE)) AS q_{c}"
-        for c in ANOVA_FEATURES) + " FROM fb WHERE descriptor IS NOT NULL GROUP BY descriptor")
+    medians = "SELECT " + ", ".join(f"median(CAST({c} AS DOUBLE)) AS med_{c}" for c in ANOVA_FEATURES) \
+        + " FROM fb WHERE descriptor IS NOT NULL"
+    filled = "SELECT descriptor, " + ", ".join(
+        f"coalesce(CAST({c} AS DOUBLE), med_{c}) AS x_{c}" for c in ANOVA_FEATURES) \
+        + " FROM fb, md WHERE descriptor IS NOT NULL"
+    per_class = "SELECT descriptor, count(*) AS n, " + ", ".join(
+        f"avg(x_{c}) AS m_{c}, var_pop(x_{c}) AS v_{c}" for c in ANOVA_FEATURES) + " FROM fl GROUP BY descriptor"
     per_feat = _union(ANOVA_FEATURES, lambda c: (
-        f"SELECT '{c}' AS feature, sum(n) AS n, count(*) AS k, sum(s_{c}) AS s, sum(q_{c}) AS q, "
-        f"sum(s_{c} * s_{c} / n) AS ssc FROM pc"))
-    f = ("SELECT feature, CASE WHEN q - ssc > 0 THEN round(((ssc - s * s / n) / (k - 1)) / ((q - ssc) / (n - k)), 4) "
+        f"SELECT '{c}' AS feature, sum(n) AS n, count(*) AS k, sum(n * v_{c}) AS ssw, "
+        f"sum(n * (m_{c} - (SELECT avg(x_{c}) FROM fl)) ** 2) AS ssb FROM pc"))
+    f = ("SELECT feature, CASE WHEN ssw > 0 AND k > 1 THEN round((ssb / (k - 1)) / (ssw / (n - k)), 4) "
          "END AS f_score FROM pf")
     if top:
         f = f"SELECT * FROM ({f}) ORDER BY f_score DESC NULLS LAST, feature LIMIT {top}"
     extra = ("fb AS (SELECT *, CAST(dense_rank() OVER (ORDER BY coalesce(borough, 'nan')) - 1 AS INTEGER) "
-             f"AS borough_code FROM feat), pc AS ({per_class}), pf AS ({per_feat})")
+             f"AS borough_code FROM feat), md AS ({medians}), fl AS ({filled}), pc AS ({per_class}), pf AS ({per_feat})")
     return with_ctes(f, extra)
 
 

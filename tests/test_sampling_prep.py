@@ -88,3 +88,17 @@ def test_f_classif_matches_numpy(spark):
     ssw = sum(((g - g.mean()) ** 2).sum() for g in groups)
     expect = (ssb / 2) / (ssw / (300 - 3))
     assert abs(f - expect) / expect < 1e-9
+
+
+def test_f_classif_fills_nulls_with_the_median(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 200)
+    x = np.round(rng.normal(size=200), 3) - 74.0
+    gone = rng.random(200) < 0.2
+    df = spark.createDataFrame([(None if g else float(a), int(b)) for a, b, g in zip(x, y, gone)], "x DOUBLE, y INT")
+    f = PR.f_classif(df, ["x"], "y").collect()[0].f_score
+    x = np.where(gone, np.median(x[~gone]), x)
+    ssb = sum((y == k).sum() * (x[y == k].mean() - x.mean()) ** 2 for k in range(3))
+    ssw = sum(((x[y == k] - x[y == k].mean()) ** 2).sum() for k in range(3))
+    assert abs(f - (ssb / 2) / (ssw / 197)) < 1e-6 * f
