@@ -164,13 +164,14 @@ def roc_auc(pred: DataFrame, score: str = "score", model: str = "model", positiv
 
 
 def roc_curve(pred: DataFrame, score: str = "score", model: str = "model", positive: str = CRITICAL) -> DataFrame:
-    """(threshold, fpr, tpr) for every distinct score; predicted positive if score >= threshold."""
+    """(threshold, fpr, tpr) for every distinct score, predicted positive if score >= threshold, and the
+    start point (infinity, 0, 0) of every model."""
     g = _score_groups(pred, score, model, positive)
     tot = g.groupBy(model).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    g = g.join(tot, model)
-    return g.select(model, F.col(score).alias("threshold"),
-                    _safe_div(F.col("neg_above") + F.col("neg"), F.col("N")).alias("fpr"),
-                    _safe_div(F.col("pos_above") + F.col("pos"), F.col("P")).alias("tpr"))
+    points = g.join(tot, model).select(model, F.col(score).alias("threshold"),
+                                       _safe_div(F.col("neg_above") + F.col("neg"), F.col("N")).alias("fpr"),
+                                       _safe_div(F.col("pos_above") + F.col("pos"), F.col("P")).alias("tpr"))
+    return points.union(tot.select(model, F.lit(float("inf")), F.lit(0.0), F.lit(0.0)))
 
 
 def probability_histogram(pred: DataFrame, score: str = "score", bins: int = 20, model: str = "model") -> DataFrame:
@@ -276,3 +277,15 @@ def tier_balance(acc: Column, rec: Column) -> Column:
 def tier_detected(n: Column) -> Column:
     return (F.when(n > 1000, "incredible").when(n > 500, "excellent").when(n > 200, "very good")
             .otherwise("progress"))
+
+
+def tier_useful(rec: Column) -> Column:
+    return F.when(rec > 0.1, "excellent").when(rec > 0.05, "good").otherwise("none")
+
+
+def tier_accuracy(acc: Column, rec: Column) -> Column:
+    return F.when((acc > 0.7) & (rec > 0.1), "excellent").when(acc > 0.6, "good").otherwise("none")
+
+
+def tier_found(n: Column) -> Column:
+    return F.when(n > 500, "incredible").when(n > 200, "excellent").when(n > 100, "good").otherwise("none")

@@ -180,7 +180,8 @@ def q_auc(spark, sf):
     "SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS neg_at, "
     "sum(pos) OVER (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS pos_at, "
     "sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N "
-    f"FROM ({_SCORE_GROUPS}))", _PRED_CTES))
+    f"FROM ({_SCORE_GROUPS})) UNION ALL SELECT DISTINCT model, CAST('infinity' AS DOUBLE), 0.0, 0.0 "
+    f"FROM ({_SCORE_GROUPS})", _PRED_CTES))
 def q_roc(spark, sf):
     return EV.roc_curve(_preds(spark, sf))
 
@@ -289,14 +290,21 @@ def q_evolution(spark, sf):
     "ELSE 'improvable' END AS tier_recall, CASE WHEN accuracy > 0.7 AND recall_critical > 0.1 THEN 'excellent' "
     "WHEN accuracy > 0.6 AND recall_critical > 0.05 THEN 'good' ELSE 'none' END AS tier_balance, "
     "CASE WHEN detected > 1000 THEN 'incredible' WHEN detected > 500 THEN 'excellent' WHEN detected > 200 "
-    "THEN 'very good' ELSE 'progress' END AS tier_detected FROM metrics JOIN (SELECT model, "
+    "THEN 'very good' ELSE 'progress' END AS tier_detected, CASE WHEN recall_critical > 0.1 THEN 'excellent' "
+    "WHEN recall_critical > 0.05 THEN 'good' ELSE 'none' END AS tier_useful, CASE WHEN accuracy > 0.7 AND "
+    "recall_critical > 0.1 THEN 'excellent' WHEN accuracy > 0.6 THEN 'good' ELSE 'none' END AS tier_accuracy, "
+    "CASE WHEN detected > 500 THEN 'incredible' WHEN detected > 200 THEN 'excellent' WHEN detected > 100 "
+    "THEN 'good' ELSE 'none' END AS tier_found FROM metrics JOIN (SELECT model, "
     "count_if(label = 'CRITICO' AND prediction = 'CRITICO') AS detected FROM preds GROUP BY model) USING (model)",
     _PRED_CTES + ",\n" + _METRICS_CTE))
 def q_tier(spark, sf):
     m = _metrics(spark, sf).join(EV.detection_summary(_preds(spark, sf)).select("model", "detected"), "model")
     return m.select("model", EV.tier_recall(F.col("recall_critical")).alias("tier_recall"),
                     EV.tier_balance(F.col("accuracy"), F.col("recall_critical")).alias("tier_balance"),
-                    EV.tier_detected(F.col("detected")).alias("tier_detected"))
+                    EV.tier_detected(F.col("detected")).alias("tier_detected"),
+                    EV.tier_useful(F.col("recall_critical")).alias("tier_useful"),
+                    EV.tier_accuracy(F.col("accuracy"), F.col("recall_critical")).alias("tier_accuracy"),
+                    EV.tier_found(F.col("detected")).alias("tier_found"))
 
 
 @register("eval_model_comparison", with_ctes(

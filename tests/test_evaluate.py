@@ -69,6 +69,7 @@ def test_auc_random_ties_many_bins(spark):
     assert abs(EV.roc_auc(p).collect()[0].auc - u) < 1e-12
     roc = EV.roc_curve(p).orderBy(F.desc("threshold")).collect()
     assert roc[-1].fpr == 1.0 and roc[-1].tpr == 1.0
+    assert (roc[0].threshold, roc[0].fpr, roc[0].tpr) == (float("inf"), 0.0, 0.0)
 
 
 def test_histogram_top_edge_in_last_bin(spark):

@@ -2,6 +2,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from casekit.operators import models as M
@@ -21,7 +22,7 @@ def test_csv_round_trip_with_bad_timestamp(spark):
     with open(os.path.join(d, "cases.csv"), "w") as fh:
         fh.write(header + "\n" + ",".join(f'"{v}"' for v in row1) + "\n" + ",".join(f'"{v}"' for v in row2) + "\n")
     df = load_cases(spark, d)
-    rows = df.orderBy("case_id").collect()
+    rows = df.orderBy(F.desc("descriptor")).collect()
     assert rows[0].created_ts.hour == 15 and rows[0].incident_zip == 11201.0
     assert rows[1].created_ts is None and rows[1].incident_zip is None  # N10, N20
     out = os.path.join(d, "out")
@@ -29,6 +30,44 @@ def test_csv_round_trip_with_bad_timestamp(spark):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_csv_columns_by_name_quotes_and_stable_keys(spark):
+    d = tempfile.mkdtemp(prefix="casekit-csv-")
+    names = list(CSV_HEADER)
+    header = ["Unique Key", *reversed(names[1:])]  # one more, another order, the first column absent
+    text = ",".join(f'"{h}"' for h in header) + "\n"
+    for i in range(50):
+        values = [str(i // 2), *[f'say ""{h}"", {i // 2}' for h in header[1:]]]
+        text += ",".join(f'"{v}"' for v in values) + "\n"
+    with open(os.path.join(d, "cases.csv"), "w") as fh:
+        fh.write(text)
+    df = load_cases(spark, d)
+    rows = df.collect()
+    absent = CSV_HEADER[names[0]]
+    assert all(r[absent] is None for r in rows)
+    assert {r["descriptor"] for r in rows} == {f'say "{k}", {i}' for k, c in CSV_HEADER.items() if c == "descriptor"
+                                               for i in range(25)}
+    assert len({r["case_id"] for r in rows}) == 50  # every row stands there twice
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        assert {r["case_id"] for r in load_cases(spark, d).collect()} == {r["case_id"] for r in rows}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_weights_and_tree_settings_reach_the_learner():
+    def estimator(kind, n_classes=3, **params):
+        return M.make_estimator(M.ModelSpec(kind, kind, params), n_classes, 10.0, "weight")[0]
+
+    for kind in ("gbt", "svm"):
+        assert estimator(kind).getWeightCol() == "weight"
+    gbt = estimator("gbt", 2, min_samples_leaf=5, max_features="sqrt")
+    assert (gbt.getMinInstancesPerNode(), gbt.getFeatureSubsetStrategy()) == (5, "sqrt")
+    assert estimator("logreg", C=0.5).getRegParam() == 0.2
+    with pytest.warns(UserWarning, match="max_depth=35"):
+        assert estimator("rf", max_depth=35).getMaxDepth() == 30
+
+
 def test_case_view_shape(spark):
     c = case_table(spark, SF_SMALL)
     assert len(c.columns) == 17 and c.count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
