@@ -118,11 +118,11 @@ class Encoder:
                 yield from self._library(some)
                 continue
             split = [_folded(t).replace("\n", " ").split(" ") for t in some]
-            new = list(set().union(*split) - self.words.keys())
+            new = list(set().union(*split).difference(self.words))  # a set less a view would walk the view
             if new:
                 self._learn(new)
                 if len(self.words) < len(new) + MEMO_WORDS // 100:  # started anew
-                    self._learn(list(set().union(*split) - self.words.keys()))
+                    self._learn(list(set().union(*split).difference(self.words)))
             for words in split:
                 yield b"".join(map(self.words.__getitem__, words))
 
