@@ -31,6 +31,7 @@ from casekit.session import cut_lineage
 REVISIT_BYTES = 100
 #: Every capture gets this date: the input has none.
 DATE = "1970-01-01T00:00:00Z"
+TOP, SIDE = ("response", "revisit"), ("request", "metadata")
 RECORD = ("record_id string, concurrent_to string, warc_type string, target_uri string, payload_digest string, "
           "refers_to string, block binary, payload binary")
 _KINDS = pa.schema([(n, pa.binary() if kind == "binary" else pa.string())
@@ -151,13 +152,16 @@ def parse_records(file) -> Iterator[dict]:
         if s.take(4) != b"\r\n\r\n":
             raise ValueError("a record does not end where its length says")
         record = {FIELDS[k]: v for k, v in fields.items() if k in FIELDS} | {"block": block}
-        if fields["warc-type"] in ("response", "revisit"):  # the block is an HTTP message
+        if fields["warc-type"] in TOP:  # the block is an HTTP message
             record["payload"] = block.partition(b"\r\n\r\n")[2]
         yield record
 
 
-def read_records(manifest: DataFrame) -> DataFrame:
-    """All records of the archives, with their blocks."""
+def read_records(manifest: DataFrame, types: tuple[str, ...] = (*TOP, *SIDE), without: tuple[str, ...] = ()) -> DataFrame:
+    """The records of these types in the archives, less the columns ``without``. Both are left out in
+    the tasks that read, so that they are neither passed to Spark nor held."""
+    kinds = pa.schema([f for f in _KINDS if f.name not in without])
+    columns = ", ".join(c for c in RECORD.split(", ") if c.split()[0] not in without)
 
     def task(batches):
         for b in batches:
@@ -166,29 +170,32 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 with fs.open_input_stream(at, compression=None) as file:
                     rows, held = [], 0
                     for r in parse_records(file):
+                        if r["warc_type"] not in types:
+                            continue
                         rows.append(r)
                         held += len(r["block"])
                         if held > 8 << 20 or len(rows) >= 5000:
-                            yield pa.RecordBatch.from_pylist(rows, schema=_KINDS)
+                            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
                             rows, held = [], 0
                     if rows:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_KINDS)
+                        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return one_task_each(manifest).mapInArrow(task, RECORD)
+    return one_task_each(manifest).mapInArrow(task, columns)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """One nested row per capture: ``record_id, target_uri, response{type, digest, payload, length, sha256,
     refers_to}, request{record_id, block}, metadata{record_id, page_id, payload_length}``. The request and metadata records
-    are joined to the response or revisit record that their concurrent-to id names."""
-    top = records.where(F.col("warc_type").isin("response", "revisit")).select(
+    are joined to the response or revisit record that their concurrent-to id names. ``sides`` holds
+    the request and metadata records where ``records`` doesn't."""
+    top = records.where(F.col("warc_type").isin(*TOP)).select(
         "record_id", "target_uri", F.struct(
             F.col("warc_type").alias("type"), F.regexp_extract("payload_digest", "^sha256:(.*)$", 1).alias("digest"),
             "payload", F.length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("sha256"),
             F.regexp_extract("refers_to", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long").alias("refers_to")
         ).alias("response"))
     field = lambda name: F.regexp_extract(F.decode("block", "UTF-8"), rf"(?m)^{name}: (-?[0-9]+)\r?$", 1).try_cast("long")
-    side = records.where(F.col("warc_type").isin("request", "metadata"))
+    side = (records if sides is None else sides).where(F.col("warc_type").isin(*SIDE))
     side = (side.groupBy(F.col("concurrent_to").alias("record_id"))
             .agg(F.min(F.when(F.col("warc_type") == "request", F.struct("record_id", "block"))).alias("request"),
                  F.min(F.when(F.col("warc_type") == "metadata",
@@ -200,4 +207,6 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes ``pages`` as archives and returns its captures as read back and assembled."""
     folder = folder or new_folder(pages.sparkSession, "warc")
-    return assemble(read_records(write_archives(pages, folder)))
+    manifest = write_archives(pages, folder)
+    # each reading passes on what its side of the join takes; a response's block is its payload once more
+    return assemble(read_records(manifest, TOP, ("block",)), read_records(manifest, SIDE, ("payload",)))
