@@ -1,12 +1,11 @@
 """Operator 4: fuzzy line dedup by MinHash over character shingles.
 
 Equal normalized lines are one line by their hash. A line's signature has 16 minwise
-values, min(h XOR c) over the hashes h of the ten characters that begin at each word (in scripts without
-spaces: at each character), for random constants c. Bands are lines of the affine plane over
+values, min(h XOR c) over the hashes h of all its eight-character shingles, for random constants c. Bands are lines of the affine plane over
 the field of four elements: any two of the 16 values share at most one
 band, so the 16 bands of four overlap as little as possible. Lines that share a band meet;
-``link_components`` confirms pairs by the exact Jaccard similarity of all
-their eight-character shingles and unites them; the first line of each component stays.
+``link_components`` confirms pairs by the exact Jaccard similarity of
+the same shingles and unites them; the first line of each component stays.
 
 Recall of the bands at similarity 0.8 / 0.85 / 0.9: 0.989 / 0.997 / 0.9995 (simulated).
 
@@ -27,11 +26,12 @@ from casekit.llm.common import link_components, maybe_broadcast
 from casekit.session import cut_lineage
 
 SIMILARITY = 0.8
-SHINGLE, ANCHORED = 8, 10
+SHINGLE = 8
 #: Pairs with fewer equal minwise values (of 16; a pair at SIMILARITY has 12.8 on average) are not compared.
 LEAST_EQUAL = 6
-#: The characters from the start of a word, or of any character of a script without spaces.
-_ANCHOR = rf"(?:(?<!\S)|(?=[⺀-鿿가-힯]))(?=(\S.{{0,{ANCHORED - 1}}}))"
+#: Shingles are cut from pieces of so many starts, since finding a place in a text takes time by its distance.
+PIECE = 64
+_PIECES = rf"(?s)(?=(.{{{SHINGLE},{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
 _EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
 
@@ -77,15 +77,24 @@ def exact_similarity(x: Column, y: Column) -> Column:
     return F.element_at(F.transform(counts, lambda c: c["both"] / (c["all"] - c["both"])), 1)
 
 
+def signatures(lines: DataFrame) -> DataFrame:
+    """``id, m0 .. m15``: minwise values over the shingles that ``exact_set`` holds."""
+    pieces = F.when(F.char_length("line") < SHINGLE, F.array("line")).otherwise(
+        F.regexp_extract_all("line", F.lit(_PIECES), F.lit(1)))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("piece") - (SHINGLE - 1), F.lit(1)))
+    # outer: else a filter on the pieces' number is put below, which cuts every line twice
+    h = (lines.where("id IS NOT NULL").select("id", F.explode_outer(pieces).alias("piece"))
+         .select("id", "piece", F.explode_outer(starts).alias("at"))
+         .select("id", F.hash(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("h")))
+    return h.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}")
+                                 for i, c in enumerate(_constants(16))])
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 32) -> DataFrame:
     """One row per line: ``doc_id, line_no``, the place of the first line of its component
     (``rep_doc_id, rep_line_no``) and ``kept``."""
     lines = line_table(docs)
-    sig = lines.where("id IS NOT NULL").select("id", F.explode_outer(F.regexp_extract_all(
-        "line", F.lit(_ANCHOR), F.lit(1))).alias("s")).select("id", F.hash("s").alias("h"))
-    sig = sig.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}")
-                                  for i, c in enumerate(_constants(16))])
-    sig = cut_lineage(sig)
+    sig = cut_lineage(signatures(lines))
     keys = [F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in band]) for i, band in enumerate(bands())]
     rows = sig.select("id", F.explode(F.array(*keys)).alias("node"))
     met = cut_lineage(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))

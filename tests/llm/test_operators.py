@@ -171,6 +171,20 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_recall_of_edits_at_the_ends(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = []
+    for i in range(400):
+        kind = i % 4
+        x = " ".join(word(8) for _ in range(10)) if kind < 2 else word(100) if kind == 2 else f"{word(50)} {word(50)}"
+        pairs.append((x, x[:-1] + "#" if kind in (0, 3) else "#" + x[1:]))
+    rows = [(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    got = lines.dedup_lines(frame(spark, rows)).where("NOT kept").collect()
+    found = collections.Counter(r.doc_id // 2 % 4 for r in got if r.rep_doc_id == r.doc_id - 1)
+    assert all(found[kind] >= 99 for kind in range(4)), found
+
+
 # ---- 5 quality -----------------------------------------------------------------------
 def test_quality_model_is_a_distribution_and_separates(spark):
     good = [(i, prose(60, i)) for i in range(120)]
