@@ -7,7 +7,8 @@ band, so the 16 bands of four overlap as little as possible. Lines that share a
 ``link_components`` confirms pairs by the exact Jaccard similarity of
 the same shingles and unites them; the first line of each component stays.
 
-Recall of the bands at similarity 0.8 / 0.85 / 0.9: 0.989 / 0.997 / 0.9995 (simulated).
+Recall of the bands at similarity 0.8 / 0.85 / 0.9: 0.989 / 0.997 / 0.9995 (simulated). Large nodes are
+divided several ways at once (``child_nodes``): after five levels of division 0.986 / 0.995 are left.
 
 Defined results: lines end at a line feed; lines are compared lower-cased and trimmed; null texts have no
 lines, empty texts one blank line, and blank lines always stay; a line shorter than a shingle
@@ -32,6 +33,8 @@ LEAST_EQUAL = 6
 #: Shingles are cut from pieces of so many starts, since finding a place in a text takes time by its distance.
 PIECE = 64
 _PIECES = rf"(?s)(?=(.{{{SHINGLE},{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
+#: Children of a large node.
+FIRST, NEXT = 4, 2
 _EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
 
 
@@ -52,6 +55,14 @@ def bands(slopes: int = 3) -> list[list[int]]:
     return upright + [[x * 4 + (_times(m, x) ^ c) for x in range(4)] for m in range(slopes) for c in range(4)]
 
 
+def child_nodes(node: Column, values: Column, level: int) -> list[Column]:
+    """The children of a large node for a line with these ``values``, each by another coordinate: with FIRST
+    children at the first level and NEXT below, a similar pair is divided about as seldom as it misses all bands."""
+    first = F.pmod(F.xxhash64(F.lit(level), node), F.lit(16)).cast("int")
+    pick = lambda c: F.pmod(first + F.lit(5 * c), F.lit(16))
+    return [F.xxhash64(F.lit(c), node, F.get(values, pick(c))) for c in range(FIRST if level == 1 else NEXT)]
+
+
 def normalized(line: Column) -> Column:
     return F.lower(F.trim(line))
 
@@ -108,8 +119,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 32
     values = F.array(*[F.col(f"m{j}") for j in range(16)])
 
     def children(r, level):
-        pick = F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(16)).cast("int")
-        return r.join(sig, "id").select(F.xxhash64("node", F.get(values, pick)).alias("node"), "id", "size")
+        nodes = F.explode(F.array(*child_nodes(F.col("node"), values, level)))
+        return r.join(sig, "id").select(nodes.alias("node"), "id", "size")
 
     def verify(pairs):
         full = sig.select("id", values.alias("v")).join(text, "id")

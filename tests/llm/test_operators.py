@@ -185,6 +185,23 @@ def test_line_recall_of_edits_at_the_ends(spark):
     assert all(found[kind] >= 99 for kind in range(4)), found
 
 
+def test_line_pairs_stay_together_in_hot_buckets(spark):
+    r = random.Random(3)  # pairs whose 16 values agree as those of pairs at 0.8 do, all of whose buckets are hot
+    same = [[r.random() < 0.8 for _ in range(16)] for _ in range(1500)]
+    rows = [(i, [2 * (16 * i + j) for j in range(16)], [2 * (16 * i + j) + (not e) for j, e in enumerate(x)])
+            for i, x in enumerate(same)]
+    df = spark.createDataFrame(rows, "pair long, x array<long>, y array<long>")
+    node = lambda v: F.array(*[F.xxhash64(F.lit(i), *[F.get(v, F.lit(j)) for j in b])
+                               for i, b in enumerate(lines.bands())])
+    x, y = node(F.col("x")), node(F.col("y"))
+    for level in range(1, 5):
+        df = df.select("pair", "x", "y", F.explode(F.arrays_zip(x.alias("a"), y.alias("b"))).alias("n"))
+        df = df.where("n.a = n.b").select("pair", "x", "y", F.col("n.a").alias("node"))
+        found = df.select("pair").distinct().count() / len(same)
+        assert found >= 0.975, (level, found)  # one child a node: 0.83 at level 4
+        x, y = (F.array(*lines.child_nodes(F.col("node"), F.col(v), level)) for v in ("x", "y"))
+
+
 # ---- 5 quality -----------------------------------------------------------------------
 def test_quality_model_is_a_distribution_and_separates(spark):
     good = [(i, prose(60, i)) for i in range(120)]
