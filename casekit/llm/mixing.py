@@ -123,12 +123,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         d.where("size = 0").select(*keep, F.lit(0).cast("long").alias("taken")))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as rows of the mix: each row as often as the mix takes it, rounded to whole
-    documents (half a document and more counts). Rows that share an id count as one document."""
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies"))
-    taken = cut_lineage(taken.where("_copies > 0"))
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", shard_docs: int = SHARD_DOCS,
+                  seed: int = 17, **options) -> DataFrame:
+    """``docs`` as rows of the mix, in whole documents. In a shard the shares taken / size are rounded in order of
+    size, each with what the ones before left over, from a seeded start: so a shard's words are within its longest
+    document of those that ``mix`` takes. Rows that share an id and a source count as one document."""
+    taken = mix(docs, id_col, source_col, shard_docs=shard_docs, seed=seed, **options).groupBy("doc_id", "source").agg(
+        F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("size > 0")
+    taken = cut_lineage(taken)
+    n = cut_lineage(taken.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n")))
+    taken = (taken.join(maybe_broadcast(n), F.col("source").eqNullSafe(F.col("_s")))
+             .withColumn("shard", F.pmod(seeded("doc_id", seed=seed), F.ceil(F.col("_n") / shard_docs))))
+    by = Window.partitionBy("source", "shard").orderBy("size", seeded("doc_id", seed=seed), "doc_id")
+    upto = (F.sum(F.col("taken") / F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+            + F.pmod(seeded("source", "shard", seed=seed), F.lit(1 << 20)) / (1 << 20))
+    # the start is below 1, so nothing is emitted before the first document
+    taken = taken.withColumn("_upto", F.floor(upto + 1e-9)).withColumn(
+        "_copies", (F.col("_upto") - F.coalesce(F.lag("_upto").over(by), F.lit(0))).cast("int"))
+    taken = cut_lineage(taken.where("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
+                                                          "_copies"))
     row = F.struct(*[docs[c].alias(c) for c in docs.columns])
-    return (docs.join(maybe_broadcast(taken), docs["doc_id"].eqNullSafe(taken["_id"]))
+    same = docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].eqNullSafe(taken["_source"])
+    return (docs.join(maybe_broadcast(taken), same)
             .select(F.explode(F.array_repeat(row, taken["_copies"])).alias("row")).select("row.*"))

@@ -70,6 +70,22 @@ def test_mix_empty_and_documents(spark):
     assert out.columns == docs.columns and 20 <= out.count() <= 80
 
 
+def test_mix_documents_meets_targets(spark):
+    """Blocks of 21 words as well as blocks longer than a document: sources far below and above a whole pass."""
+    r = random.Random(4)
+    rows = [(i, "w " * r.randint(5, 400), "en", f"s{min(i // 400, 2)}", 0) for i in range(2400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    words = F.col("n")
+    for blocks in (20_000, 200):
+        want = mixing.mix(docs, blocks=blocks).groupBy("source").agg(F.sum("taken").alias("n"))
+        want = {x.source: x.n for x in want.collect()}
+        out = mixing.mix_documents(docs, blocks=blocks)
+        got = out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
+        got = {x.source: x.n for x in got.where(words > 0).collect()}
+        assert all(abs(got[k] - want[k]) <= 400 for k in want), (blocks, got, want)
+        assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+
+
 # ---- 2 decontamination -------------------------------------------------------------
 def test_simhash_windows_against_brute_force(spark):
     items = [(i, prose(14 + i * 3, 100 + i)) for i in range(8)] + [(20, "only three words"), (21, ""), (22, None)]
