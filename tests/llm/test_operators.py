@@ -86,6 +86,17 @@ def test_mix_documents_meets_targets(spark):
         assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
 
+def test_mix_small_sources_beside_a_hot_one(spark):
+    """Sources far smaller than total / blocks, and shards with a part-filled last block, still meet their targets."""
+    rows = [(i, "w " * (20 + i % 30), "en", "s0" if i >= 300 else f"s{1 + i % 40:02}", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for shard_docs in (4096, 50):
+        got = mixing.mix(docs, blocks=10, shard_docs=shard_docs).toPandas()
+        per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+        assert ((per.target - per.taken).abs() <= 1).all(), per
+        assert (got.taken <= 3 * got["size"]).all() and per.taken.sum() == got["size"].sum()
+
+
 # ---- 2 decontamination -------------------------------------------------------------
 def test_simhash_windows_against_brute_force(spark):
     items = [(i, prose(14 + i * 3, 100 + i)) for i in range(8)] + [(20, "only three words"), (21, ""), (22, None)]
