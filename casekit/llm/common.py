@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 from collections.abc import Callable
 
@@ -52,6 +53,12 @@ def seeded(*cols: Column | str, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def least_equal(similarity: float, coordinates: int) -> int:
+    """Equal minwise values below which a pair is not compared: five standard deviations below
+    the number expected at ``similarity``."""
+    return max(0, int(similarity * coordinates - 5 * math.sqrt(coordinates * similarity * (1 - similarity))))
+
+
 # ---- connected components ------------------------------------------------------
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` (longs).

@@ -23,13 +23,11 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import link_components, maybe_broadcast
+from casekit.llm.common import least_equal, link_components, maybe_broadcast
 from casekit.session import cut_lineage
 
 SIMILARITY = 0.8
 SHINGLE = 8
-#: Pairs with fewer equal minwise values (of 16; a pair at SIMILARITY has 12.8 on average) are not compared.
-LEAST_EQUAL = 6
 #: Shingles are cut from pieces of so many starts, since finding a place in a text takes time by its distance.
 PIECE = 64
 _PIECES = rf"(?s)(?=(.{{{SHINGLE},{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
@@ -127,7 +125,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 32
         p = (pairs.join(full.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("v").alias("vx")), "a")
              .join(full.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("v").alias("vy")), "b"))
         equal = F.size(F.filter(F.zip_with("vx", "vy", lambda x, y: x == y), lambda x: x))
-        return p.where(equal >= LEAST_EQUAL).where(
+        return p.where(equal >= least_equal(similarity, 16)).where(
             exact_similarity(F.col("x"), F.col("y")) >= similarity - 1e-9).select("a", "b")
 
     labels = link_components(rows, children, verify, small)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import link_components, maybe_broadcast
+from casekit.llm.common import least_equal, link_components, maybe_broadcast
 from casekit.session import cut_lineage
 
 WORDS = 5
@@ -34,9 +34,8 @@ WORDS = 5
 PERCENT = 85
 TREES = 10
 COORDINATES = 64
-#: Sets from this size on are compared by their coordinates before the full sets; pairs with fewer equal
-#: coordinates than LEAST_EQUAL (five standard deviations below the expected number) are not alike.
-ESTIMATE_FROM, LEAST_EQUAL = 64, 40
+#: Sets from this size on are compared by their coordinates before the full sets (``least_equal``).
+ESTIMATE_FROM = 64
 
 _RNG = np.random.default_rng(10)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -165,7 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
         p = (pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
              .join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b"))
         equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        p = cut_lineage(p.where((F.least("na", "nb") < ESTIMATE_FROM) | (equal >= LEAST_EQUAL)).select("a", "b"))
+        p = cut_lineage(p.where((F.least("na", "nb") < ESTIMATE_FROM) | (equal >= least_equal(percent / 100, COORDINATES))).select("a", "b"))
         if p.isEmpty():
             return p
         need = cut_lineage(p.select(F.col("a").alias("k")).union(p.select("b")).distinct()

@@ -12,6 +12,8 @@ from casekit.llm import decontaminate, mixing, neardup, quality, tokens
 from casekit.llm.common import new_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: Similarity in per cent of near copies; operator 10's own query has 85.
+NEAR_PERCENT = 80
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +22,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return neardup.keep_one(docs)
+    """One document of each group of near copies (similarity 0.8 and above) stays, that with the smallest id."""
+    return neardup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

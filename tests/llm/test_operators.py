@@ -446,6 +446,28 @@ def test_near_duplicates_null_and_repeated_ids(spark):
         (None, 4, False), (4, 4, True), (None, None, True), (7, 7, True), (7, 2, False), (2, 2, True)]))
 
 
+def test_near_duplicates_below_85_percent(spark):
+    from tests.conftest import SF_SMALL
+
+    def pairs(low, high):
+        rows = []
+        for i in range(60):
+            w = [f"w{i}x{j}" for j in range(400)]
+            x, n = list(w), 0
+            while len(rows) < 2 * i + 2:
+                x[3 + 7 * n] = "edit"  # each changes five shingles
+                n += 1
+                a, b = _sets([(0, " ".join(w)), (1, " ".join(x))]).values()
+                if low <= 100 * len(a & b) / len(a | b) <= high:
+                    rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
+        return frame(spark, rows)
+
+    kept = corpus_pipeline.near_dedup(spark, pairs(80, 83), SF_SMALL).count()
+    assert kept <= 62
+    found = neardup.near_duplicates(pairs(60, 62), percent=60).where("NOT kept").count()
+    assert found >= 50  # all of them were below 40 equal coordinates of 64, by and large
+
+
 # ---- pipeline --------------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
     from tests.conftest import SF_SMALL
