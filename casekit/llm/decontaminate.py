@@ -15,7 +15,7 @@ windows, such as a passage that many documents repeat, are fingerprinted once.
 
 Defined results: words are lower-cased runs of letters, digits and non-ASCII characters; null,
 empty or wordless texts and items match nothing; a window at the end of a text may be shorter; repeated items count each,
-under their own id (equal ids are one item); repeated rows give one result per id and item; a
+under their own id (of an id with several texts, or the null id, all are searched and the best match counts); repeated rows give one result per id and item; a
 null document id is an id of its own; empty tables give no rows. Other columns are not read.
 """
 
@@ -134,7 +134,9 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similarity: float) -> Da
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and benchmark item it holds: the best window's ``similarity``, ``start_word``
     and ``n_words``."""
-    items = (benchmark.select("item_id", "text").dropDuplicates(["item_id"]).withColumn("w", words(F.col("text")))
+    texts = cut_lineage(benchmark.select(F.col("item_id").alias("id"), "text").dropDuplicates()
+                        .withColumn("item_id", F.monotonically_increasing_id()))  # of each text
+    items = (texts.withColumn("w", words(F.col("text")))
              .withColumn("k", F.least(F.size("w"), F.lit(WORDS))).where("k > 0"))
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most WORDS values
     out = None
@@ -146,7 +148,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     if out is None:
         return docs.sparkSession.createDataFrame(
             [], "doc_id long, item_id long, similarity double, start_word int, n_words int")
-    best = F.max_by(F.struct("similarity", "start_word", "n_words"), F.struct("similarity", -F.col("start_word")))
+    out = out.join(maybe_broadcast(texts.select("item_id", "id")), "item_id").drop("item_id").withColumnRenamed("id", "item_id")
+    best = F.max_by(F.struct("similarity", "start_word", "n_words"),
+                    F.struct("similarity", -F.col("start_word"), "n_words"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.*")
 
 

@@ -134,6 +134,16 @@ def test_simhash_windows_against_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_items_that_share_an_id_or_have_none(spark):
+    texts = [prose(20, 300 + i) for i in range(5)]
+    bench = spark.createDataFrame(list(zip([1, 1, None, None, 1], texts)), "item_id long, text string")
+    docs = [(i, f"{prose(20, 400 + i)} {t} {prose(20, 450 + i)}") for i, t in enumerate(texts)] + [(9, prose(50, 499))]
+    docs += [(10, f"{texts[0]} {prose(9, 5)} {texts[1]}")]
+    got = [(r.doc_id, r.item_id, r.start_word) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()]
+    assert sorted(got, key=str) == sorted([(0, 1, 20), (1, 1, 20), (2, None, 20), (3, None, 20), (4, 1, 20), (10, 1, 0)], key=str)
+    assert [r.doc_id for r in decontaminate.keep_clean(frame(spark, docs), bench).collect()] == [9]
+
+
 # ---- 3 fingerprints ------------------------------------------------------------------
 def test_fingerprints(spark):
     texts = [(i, prose(80, i // 2) + ("é😀" if i % 5 == 0 else "")) for i in range(30)] + ODD[1:]
