@@ -9,7 +9,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casekit.llm import decontaminate, fingerprint, lines, mixing, neardup, pii, quality, tokens, urls, warc
+from casekit.llm import decontaminate, fingerprint, hamming, lines, mixing, neardup, pii, quality, runs, tokens, urls, warc
+from casekit.llm import whitening as whiten
 from casekit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,26 @@ FROM s LEFT JOIN best USING (page_id)
 @query
 def op10_chosen_path(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.planted_tail().alias("text"))
+    r = runs.periodic_runs(docs).withColumn("best", runs.strongest("runs"))
+    lines_ = F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"]))
+    listed = F.concat_ws("", F.transform(lines_, lambda x: F.concat(x, F.lit("\n"))))
+    return r.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.period", "best.length",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_chebyshev_whitening(spark, sf_dir):
+    return whiten.whitened(whiten.lattice(table(spark, sf_dir, "embeddings"), "embedding"))
+
+
+@query
+def op13_simhash_index(spark, sf_dir):
+    d = hamming.simhash_duplicates(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
