@@ -11,12 +11,12 @@ small Hamming ball, and those that meet under a value are compared over all 64 b
 upper half of a ball is enumerated (zero bits set, never one bits cleared): two segment values
 within r bits both reach their bitwise OR in r steps.
 
-Links are needed only up to components, so a group of near copies is not expanded into pairs. Per
-table entry (node): all members in one component, done; few comparisons between the largest
-component and the rest, made (the join tests the distance, only component pairs leave it); else every
-member is compared with the one nearest the node's bitwise majority, and the node's members enter
-segment tables of their remaining bits, where this repeats. At the last level, with over 50 bits
-fixed, nodes are compared exhaustively whatever their size. No link is lost to a limit.
+Links are needed only up to components, so a group of near copies is not expanded into pairs. The members of
+a table entry (node) of at most ``NODE_ROWS`` are compared in one task, each new member of a component with those
+that are in none yet, and a spanning forest leaves the task. Of larger nodes, those with all members in one
+component are done; else every member is compared with the one nearest the node's bitwise majority, and the
+members enter segment tables of their remaining bits, where this repeats. At the last level, with over
+50 bits fixed, nodes are compared whatever their size. No link is lost to a limit.
 
 Defined results: null, empty and wordless texts have fingerprint zero, linked like any other;
 fewer than four words are one shingle. Rows with a null id take part, but name no component: a
@@ -39,8 +39,8 @@ WORDS = 4
 SEED = 42
 RADIUS = 4
 SEGMENTS = 3
-#: Comparisons inside one node above which it is divided again.
-NODE_WORK = 1 << 22
+#: Members of a node above which it is divided again.
+NODE_ROWS = 1 << 13
 #: Shingle hashes whose bits are counted at once in a task.
 _BLOCK = 1 << 15
 
@@ -127,45 +127,97 @@ def _enter(rows: DataFrame, level: int, radius: int) -> DataFrame:
     return rows.select(F.inline(F.flatten(F.array(*entries))), "fp")
 
 
-def hamming_components(fps: DataFrame, radius: int = RADIUS, work: int = NODE_WORK) -> DataFrame | None:
+def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest of the links among distinct fingerprints."""
+    edges, free = [], fps
+    while len(free) > 1:
+        todo, free = [free[:1]], free[1:]
+        while todo and len(free):
+            for v in todo.pop():
+                near = np.bitwise_count(free ^ v) <= radius
+                if near.any():
+                    edges.append((np.repeat(v, near.sum()), free[near]))
+                    todo.append(free[near])
+                    free = free[~near]
+    return edges
+
+
+def _node_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` that connect the members of each node of ``rows(node, fp)`` as all their links do."""
+
+    def link(node, fp):
+        """Of whole nodes in order: pairs next to each other at once, larger nodes one by one."""
+        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        sizes = np.diff(np.append(starts, len(node)))
+        two = starts[sizes == 2]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        edges = [(fp[two], fp[two + 1])]
+        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            edges += _forest(fp[s: s + n], radius)
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*edges))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def task(batches):
+        kept = []  # the node that the batches so far end in
+        for batch in batches:
+            node, fp = batch.column("node").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            if not len(node):
+                continue
+            if kept and node[-1] == kept[0][0][0]:
+                kept.append((node, fp))
+                continue
+            kept.append((node, fp))
+            node, fp = (np.concatenate(x) for x in zip(*kept))
+            whole = int(np.searchsorted(node, node[-1]))
+            if whole:
+                yield link(node[:whole], fp[:whole])
+            kept = [(node[whole:], fp[whole:])]
+        if kept:
+            yield link(*(np.concatenate(x) for x in zip(*kept)))
+
+    dealt = rows.select("node", "fp").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(task, "a long, b long").distinct()
+
+
+def hamming_components(fps: DataFrame, radius: int = RADIUS, most: int = NODE_ROWS) -> DataFrame | None:
     """Components of distinct 64-bit ``fps(fp)`` under links of at most ``radius`` differing bits.
 
     Returns ``(id, component)`` for linked fingerprints, the component named by one of them; None without links.
     """
-    labels, level = None, 0
+    labels = None
+
+    def join(links):
+        nonlocal labels
+        links = cut_lineage(links)
+        if not links.isEmpty():
+            labels = cut_lineage(components(links if labels is None else links.union(labels.select("id", "component"))))
+
     rows = _enter(fps.select(F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("used"), "fp"), 0, radius)
-    while True:
-        if labels is None:  # every fingerprint is a component
-            r = rows.withColumn("comp", F.col("fp"))
-            nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("fp").alias("main")).where("n > 1")
-            nodes = nodes.select("node", "main", F.col("n").cast("double").alias("n"), (F.col("n") - 1).alias("rest"))
-        else:
-            r = rows.join(maybe_broadcast(labels.select(F.col("id").alias("fp"), F.col("component").alias("c"))), "fp", "left")
-            r = r.select("node", "used", "fp", F.coalesce("c", "fp").alias("comp"))
-            nodes = (r.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node")
-                     .agg(F.sum("m").cast("double").alias("n"), F.count("*").alias("k"), F.max(F.struct("m", "comp")).alias("top"))
-                     .where("k > 1").select("node", F.col("top.comp").alias("main"), "n", (F.col("n") - F.col("top.m")).alias("rest")))
-        last = level + 1 >= _levels()
-        few = F.lit(True) if last else F.col("n") * F.col("rest") <= work
-        r = cut_lineage(r.join(nodes.select("node", "main", few.alias("few")), "node"))
-        met, large = r.agg(F.count("*"), F.bool_or(~F.col("few"))).first()
-        if not met:
-            return labels
-        near = F.col("comp") != F.col("oc")
-        out = r.where("few AND comp <> main").select("node", F.col("fp").alias("o"), F.col("comp").alias("oc"))
-        links = r.where("few").join(out, "node").where(near & (_far("fp", "o") <= radius)).select("comp", "oc")
-        many = r.where("NOT few")
-        if large:
-            links = links.union(many.join(maybe_broadcast(_centres(many)), "node")
-                                .where(near & (_far("fp", "o") <= radius)).select("comp", "oc"))
-        new = cut_lineage(links.select(F.least("comp", "oc").alias("a"), F.greatest("comp", "oc").alias("b")).distinct())
-        if not new.isEmpty():
-            known = new if labels is None else new.union(labels.select("id", "component"))
-            labels = cut_lineage(components(known))
-        if not large:
-            return labels
-        level += 1
-        rows = _enter(many.select("node", "used", "fp"), level, radius)
+    for level in range(_levels()):
+        if level + 1 == _levels():
+            join(_node_links(rows, radius))
+            break
+        hot = cut_lineage(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most).select("node"))
+        join(_node_links(rows.join(maybe_broadcast(hot), "node", "left_anti"), radius))
+        if hot.isEmpty():
+            break
+        many = cut_lineage(rows.join(maybe_broadcast(hot), "node", "left_semi"))
+        many_c = _divided(many, labels)
+        near = (F.col("comp") != F.col("oc")) & (_far("fp", "o") <= radius)
+        join(many_c.join(maybe_broadcast(_centres(many_c)), "node").where(near)
+             .select(F.least("comp", "oc").alias("a"), F.greatest("comp", "oc").alias("b")).distinct())
+        rows = cut_lineage(_enter(_divided(many, labels), level + 1, radius))
+    return labels
+
+
+def _divided(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows(node, used, fp)`` with each fingerprint's component ``comp``, without the nodes of only one."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("fp"))
+    r = rows.join(maybe_broadcast(labels.select(F.col("id").alias("fp"), F.col("component").alias("c"))), "fp", "left")
+    r = cut_lineage(r.select("node", "used", "fp", F.coalesce("c", "fp").alias("comp")))
+    mixed = r.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("node")
+    return r.join(maybe_broadcast(cut_lineage(mixed)), "node", "left_semi")
 
 
 def _centres(many: DataFrame) -> DataFrame:
@@ -182,11 +234,11 @@ def _centres(many: DataFrame) -> DataFrame:
     return cut_lineage(best.select("node", F.col("p.fp").alias("o"), F.col("p.comp").alias("oc")))
 
 
-def simhash_duplicates(docs: DataFrame, radius: int = RADIUS, work: int = NODE_WORK) -> DataFrame:
+def simhash_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = NODE_ROWS) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``."""
     d = cut_lineage(fingerprints(docs))
     fps = cut_lineage(d.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    labels = hamming_components(fps.select("fp"), radius, work)
+    labels = hamming_components(fps.select("fp"), radius, most)
     if labels is None:
         named = fps.withColumnRenamed("low", "component_id")
     else:

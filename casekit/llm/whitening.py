@@ -37,13 +37,17 @@ from casekit.session import cut_lineage
 
 COMPONENTS = 16
 SCALE, SHIFT = 64, 1_000_000
-DEGREE = 12
-LANCZOS = 14
+#: The block's vectors for each component wanted.
+WIDTH = 3
+DEGREE = 8
+LANCZOS = 10
 TOLERANCE = 1e-11
 _SETTLED = 0.2
 _MAX_SWEEPS = 60
 _LARGEST = float(1 << 46)
 _BLOCK_BYTES = 1 << 20
+#: Bytes of blocks that one task of a pass reads.
+_TASK_BYTES = 32 << 20
 
 
 def lattice(rows: DataFrame, column: str, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
@@ -101,7 +105,10 @@ def _blocks(rows: DataFrame, d: int) -> DataFrame:
                                                      names=["width", "data"])
 
     distinct = rows.select("x").mapInArrow(pack, "v binary").distinct()
-    return cut_lineage(distinct.mapInArrow(stack, "width int, data binary"))
+    blocks = cut_lineage(distinct.mapInArrow(stack, "width int, data binary"))
+    size = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
+    # passes are many, so small tables get no more tasks than run at once
+    return blocks.coalesce(max(blocks.sparkSession.sparkContext.defaultParallelism, -(-size // _TASK_BYTES)))
 
 
 def _total(blocks: DataFrame, d: int, part: Callable[[np.ndarray], np.ndarray], kind: str) -> np.ndarray:
@@ -175,7 +182,7 @@ def fit(rows: DataFrame, components: int = COMPONENTS, seed: int = 12) -> Whiten
     if not trace:
         return None
     rng = np.random.default_rng(seed)
-    k, width = min(components, d), min(d, 2 * components)
+    k, width = min(components, d), min(d, WIDTH * components)
     probe = _Lanczos(d, LANCZOS, rng) if width < d else None
 
     def ride(q):
