@@ -39,4 +39,4 @@ def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_all() -> None:
     # importing registers the queries
-    from casekit.plans import q_analytics, q_features, q_prep, q_evaluate, q_models  # noqa: F401
+    from casekit.plans import q_analytics, q_features, q_prep, q_evaluate, q_models, q_neighbours  # noqa: F401
