@@ -59,8 +59,10 @@ def test_weights_and_tree_settings_reach_the_learner():
     def estimator(kind, n_classes=3, **params):
         return M.make_estimator(M.ModelSpec(kind, kind, params), n_classes, 10.0, "weight")[0]
 
-    for kind in ("gbt", "svm"):
+    for kind in ("gbt", "extra_trees"):
         assert estimator(kind).getWeightCol() == "weight"
+    assert estimator("svm", C=0.5).getStages()[1].getClassifier().getRegParam() == 0.2
+    assert estimator("gbt", min_samples_leaf=5, learning_rate=0.2).settings["min_rows"] == 5
     gbt = estimator("gbt", 2, min_samples_leaf=5, max_features="sqrt")
     assert (gbt.getMinInstancesPerNode(), gbt.getFeatureSubsetStrategy()) == (5, "sqrt")
     assert estimator("logreg", C=0.5).getRegParam() == 0.2
