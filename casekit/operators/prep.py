@@ -25,13 +25,10 @@ def _stack(row: DataFrame, cols: list[str], fields: dict[str, str]) -> DataFrame
 def fit_median(train: DataFrame, cols: list[str]) -> DataFrame:
     """Exact median per column (linear interpolation between the middle values).
 
-    All columns go through one distributed exact-quantile pass over the
-    unpivoted (feature, value) pairs; no column is gathered in one task.
+    All columns are narrowed together (``column_quantiles``); no column is gathered in one task.
     """
-    from casekit.operators.quantiles import exact_quantiles
-    long = train.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(_q(c)).cast("double").alias("v")) for c in cols])))
-    med = exact_quantiles(long, "v", [0.5], keys=["feature"]).select("feature", F.col("q0").alias("value"))
+    from casekit.operators.quantiles import column_quantiles
+    med = column_quantiles(train, cols, [0.5]).select("feature", F.col("q0").alias("value"))
     names = train.sparkSession.createDataFrame([(c,) for c in cols], "feature STRING")
     return names.join(med, "feature", "left")  # all-NULL columns keep a NULL median
 

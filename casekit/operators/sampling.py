@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from casekit.functions.labels import CRITICAL
 from casekit.operators.encode import bounded_broadcast
+from casekit.session import cut_lineage
 
 
 def row_hash(key: str = "case_id", seed: int = 42) -> Column:
@@ -57,6 +58,38 @@ def class_rank(df: DataFrame, label: str, key: str = "case_id", seed: int = 42,
             .drop("__h", "__b", "__r", "__off"))
 
 
+def class_cut(df: DataFrame, label: str, quota, key: str = "case_id", seed: int = 42, hex_digits: int = 3,
+              out: str = "picked", size_col: str = "class_n") -> DataFrame:
+    """Adds ``picked``: is the row among the first ``quota`` of its class by (hash, key), and ``class_n``.
+
+    ``quota`` makes a column of ``class_n`` and the greatest and least class size ``n_max`` and ``n_min``. Rows are not
+    moved: counts per (class, hash bucket) say in which bucket a class's last picked row lies, only that bucket's
+    rows are ranked, and every row is then decided by comparing it with its class's last row. Rows that share a key are decided
+    together. A NULL label is a class of its own.
+    """
+    h = row_hash(key, seed)
+    bucket = F.conv(F.substring("h", 1, hex_digits), 16, 10).cast("int")
+    small = df.select(F.col(label).alias("y"), F.col(key).alias("k"), h.alias("h")).withColumn("b", bucket)
+    counts = cut_lineage(small.groupBy("y", "b").agg(F.count(F.lit(1)).alias("n")))
+    sizes = counts.groupBy("y").agg(F.sum("n").alias(size_col))  # a row per class
+    whole = sizes.agg(F.max(size_col), F.min(size_col)).first()
+    sizes = sizes.withColumns({"n_max": F.lit(whole[0]), "n_min": F.lit(whole[1])})
+    sizes = sizes.withColumn("quota", quota(F.col(size_col), F.col("n_max"), F.col("n_min")).cast("long"))
+    w = Window.partitionBy("y").orderBy("b")
+    upto = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = sizes.withColumnRenamed("y", "sy")
+    last = upto.join(F.broadcast(s), upto["y"].eqNullSafe(s["sy"])).where("upto >= quota AND upto - n < quota")
+    last = cut_lineage(last.select("sy", F.col("b").alias("sb"), (F.col("quota") - F.col("upto") + F.col("n")).alias("need")))
+    edge = small.join(F.broadcast(last), small["y"].eqNullSafe(last["sy"]) & (small["b"] == last["sb"]))
+    edge = edge.withColumn("r", F.row_number().over(Window.partitionBy("sy").orderBy("h", "k"))).where("r = need")
+    edge = edge.select(F.col("sy").alias("ey"), F.col("h").alias("__eh"), F.col("k").alias("__ek"))
+    cuts = sizes.join(edge, sizes["y"].eqNullSafe(edge["ey"]), "left").select(F.col("y").alias("__y"), size_col, "n_max", "n_min", "__eh", "__ek")
+    cuts, _ = bounded_broadcast(cut_lineage(cuts), 1 << 16)
+    first = (h < F.col("__eh")) | ((h == F.col("__eh")) & (F.col(key) <= F.col("__ek")))
+    return (df.join(cuts, df[label].eqNullSafe(cuts["__y"])).withColumn(out, F.coalesce(first, F.lit(False)))
+            .drop("__y", "__eh", "__ek"))
+
+
 def test_count(n: Column, test_size: float) -> Column:
     """Test rows of a class of size n: n * test_size rounded half up."""
     return F.floor(n * F.lit(float(test_size)) + F.lit(0.5)).cast("long")
@@ -67,12 +100,11 @@ def stratified_split(df: DataFrame, label: str, test_size: float = 0.2, seed: in
     """B1: exact per-class test share; adds ``split`` in {'train', 'test'}.
 
     Rows without a label are dropped first (the reference drops NULL targets
-    before splitting).
+    before splitting). No row moves (``class_cut``).
     """
-    r = class_rank(df.where(F.col(label).isNotNull()), label, key, seed)
-    return (r.withColumn(split_col, F.when(F.col("class_rank") <= test_count(F.col("class_n"), test_size), "test")
-                         .otherwise("train"))
-            .drop("class_rank", "class_n"))
+    r = class_cut(df.where(F.col(label).isNotNull()), label, lambda n, most, least: test_count(n, test_size), key, seed)
+    return (r.withColumn(split_col, F.when(F.col("picked"), "test").otherwise("train"))
+            .drop("picked", "class_n", "n_max", "n_min"))
 
 
 def train_test(df: DataFrame, label: str, test_size: float = 0.2, seed: int = 42, key: str = "case_id"):
@@ -95,9 +127,8 @@ def _class_sizes(df: DataFrame, label: str) -> DataFrame:
 def random_undersample(df: DataFrame, label: str, seed: int = 42, key: str = "case_id") -> DataFrame:
     """Every class cut to the smallest class size (hash order)."""
     d = df.where(F.col(label).isNotNull())
-    n_min = _class_sizes(d, label).agg(F.min("n")).scalar()
-    r = class_rank(d, label, key, seed)
-    return r.where(F.col("class_rank") <= n_min).drop("class_rank", "class_n")
+    r = class_cut(d, label, lambda n, most, least: least, key, seed)
+    return r.where("picked").drop("picked", "class_n", "n_max", "n_min")
 
 
 def random_oversample(df: DataFrame, label: str, seed: int = 42, key: str = "case_id",
@@ -110,12 +141,10 @@ def random_oversample(df: DataFrame, label: str, seed: int = 42, key: str = "cas
     ``explode(sequence)``, so the work stays with the row's task.
     """
     d = df.where(F.col(label).isNotNull())
-    n_max = _class_sizes(d, label).agg(F.max("n")).scalar()
-    r = class_rank(d, label, key, seed)
-    n_c = F.col("class_n")
-    copies = (F.floor(n_max / n_c) + F.when(F.col("class_rank") <= F.pmod(n_max, n_c), 1).otherwise(0)).cast("int")
+    r = class_cut(d, label, lambda n, most, least: F.pmod(most, n), key, seed)
+    copies = (F.floor(F.col("n_max") / F.col("class_n")) + F.col("picked").cast("int")).cast("int")
     return (r.withColumn(copy_col, F.explode(F.sequence(F.lit(1), copies)))
-            .drop("class_rank", "class_n"))
+            .drop("picked", "class_n", "n_max", "n_min"))
 
 
 def class_weights(df: DataFrame, label: str, mode: str = "balanced", factor: float = 2.0,
