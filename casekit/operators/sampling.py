@@ -74,7 +74,7 @@ def class_cut(df: DataFrame, label: str, quota, key: str = "case_id", seed: int
     sizes = counts.groupBy("y").agg(F.sum("n").alias(size_col))  # a row per class
     whole = sizes.agg(F.max(size_col), F.min(size_col)).first()
     sizes = sizes.withColumns({"n_max": F.lit(whole[0]), "n_min": F.lit(whole[1])})
-    sizes = sizes.withColumn("quota", quota(F.col(size_col), F.col("n_max"), F.col("n_min")).cast("long"))
+    sizes = sizes.withColumn("quota", F.least(quota(F.col(size_col), F.col("n_max"), F.col("n_min")).cast("long"), size_col))
     w = Window.partitionBy("y").orderBy("b")
     upto = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     s = sizes.withColumnRenamed("y", "sy")
