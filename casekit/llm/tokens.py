@@ -8,8 +8,8 @@ A part file holds, in ascending document order:
   size, size, and the low 32 bits of the ids' XXH64 as checksum, then the number of frames, a
   descriptor byte and the magic number.
 
-Parts are ranges of document ids, so readers find a document by the part's range in
-the manifest and its place in the directory, and decompress its frame only.
+Parts are ranges of document ids. The manifest has each part's first and last id, so readers open the parts that can hold
+a document, find its place in the directory, and decompress its frame only.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 documents of their own, beside each other; null ids come first; an empty
@@ -35,12 +35,15 @@ from casekit.llm.common import new_folder, one_task_each, open_fs, write_parts
 
 #: Fixed values of the zstandard formats.
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK_TABLE, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Distinct words whose ids a worker remembers before it starts anew.
-MEMO_WORDS = 700_000
+#: Distinct words and pre-tokens whose ids a worker remembers before it starts anew: about 45 MB each.
+MEMO_WORDS, MEMO_PARTS = 250_000, 250_000
+#: Characters of text that are split at once.
+BATCH_CHARS = 1 << 20
 #: Fixed value: pre-tokenizer that drops white space and treats the words between on their own.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin letters and then ASCII punctuation: two pre-tokens of that pattern.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -78,13 +81,20 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learned(self, found: set[str]) -> dict[str, bytes]:
+        """The memo of words, with a batch's distinct words in it. Words are put together from pre-tokens, which
+        are remembered too."""
+        if len(self.parts) > MEMO_PARTS:
+            self.parts = {"": b""}
         if len(self.words) > MEMO_WORDS:
-            self.words, self.parts = {}, {"": b""}
-        simple, rest, letters, marks, parts = [], [], set(), set(), self.parts
-        for w in new:
-            if w.isascii() and w.isalpha():
-                a, b = w.lower(), ""
+            self.words = {}
+        simple, rest, letters, marks, parts, words = [], [], set(), set(), self.parts, self.words
+        for w in found.difference(words.keys()) if len(found) > len(words) else [w for w in found if w not in words]:
+            a = w.rstrip(_MARKS)
+            if a.isascii() and a.isalpha():
+                b, a = w[len(a):], a.lower()
+                if b and b not in parts:
+                    marks.add(b)
             elif m := _SIMPLE.fullmatch(w):
                 a, b = m[1].lower(), m[2]
                 if b not in parts:
@@ -106,25 +116,26 @@ class Encoder:
                 parts.update(zip(letters, self._library(letters)))
         marks = list(marks)
         parts.update(zip(marks, self._library(marks)))
-        words = self.words
         for w, a, b in simple:
             words[w] = parts[a] + parts[b] if b else parts[a]
         words.update(zip(rest, self._library(rest)))
+        return words
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 64):
-            some = texts[i: i + 64]
-            if not self.by_word:
-                yield from self._library(some)
+        some, size = [], 0
+        for i, t in enumerate(texts):
+            some.append(t)
+            size += len(t)
+            if size < BATCH_CHARS and i + 1 < len(texts):
                 continue
-            split = [_folded(t).replace("\n", " ").split(" ") for t in some]
-            new = list(set().union(*split).difference(self.words))  # a set less a view would walk the view
-            if new:
-                self._learn(new)
-                if len(self.words) < len(new) + MEMO_WORDS // 100:  # started anew
-                    self._learn(list(set().union(*split).difference(self.words)))
-            for words in split:
-                yield b"".join(map(self.words.__getitem__, words))
+            if self.by_word:
+                split = [_folded(x).replace("\n", " ").split(" ") for x in some]
+                words = self._learned(set().union(*split))
+                for x in split:
+                    yield b"".join(map(words.__getitem__, x))
+            else:
+                yield from self._library(some)
+            some, size = [], 0
 
 
 def encoder(path: str) -> Encoder:
@@ -135,8 +146,9 @@ def _skippable(magic: int, body: bytes) -> bytes:
     return struct.pack("<II", magic, len(body)) + body
 
 
-def write_frames(out, docs: Iterable[tuple[int | None, bytes]], level: int = 3) -> tuple[int, int]:
-    """Writes documents (id, packed ids) as one part file. Returns documents and ids written."""
+def write_frames(out, docs: Iterable[tuple[int | None, bytes]], level: int = 1) -> tuple[int, int, int | None, int | None, int]:
+    """Writes documents (id, packed ids) as one part file. Returns documents and ids
+    written, the least and greatest document id (None without any), and how many ids are null."""
     pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
     ids, valid, seek, total = [], bytearray(), [], 0
     for doc_id, data in docs:
@@ -149,7 +161,8 @@ def write_frames(out, docs: Iterable[tuple[int | None, bytes]], level: int = 3)
     out.write(_skippable(SKIPPABLE_DIRECTORY, np.array(ids, "<i8").tobytes() + bytes(valid)))
     foot = struct.pack("<IBI", len(seek), HAS_CHECKSUMS, SEEK_MAGIC)
     out.write(_skippable(SKIPPABLE_SEEK_TABLE, b"".join(seek) + foot))
-    return len(ids), total
+    known = [i for i, v in zip(ids, valid) if v]
+    return len(ids), total, min(known, default=None), max(known, default=None), len(ids) - len(known)
 
 
 def read_frames(file, wanted: set[int] | None = None) -> Iterator[tuple[int | None, int, bytes | None]]:
@@ -182,7 +195,7 @@ def read_frames(file, wanted: set[int] | None = None) -> Iterator[tuple[int | No
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` with the tokenizer file (same path on all executors), appends
     ``end_id`` to each document and writes the parts. Returns the manifest: ``part, path, n_docs,
-    n_tokens`` and ``base``, the ids in the parts before."""
+    n_tokens, first_id, last_id, n_null`` (documents without an id) and ``base``, the ids in the parts before."""
     end = struct.pack("<I", end_id)
 
     def part(out, batches):
@@ -198,15 +211,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
 
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     d = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*key).sortWithinPartitions(*key)
-    m = write_parts(d, folder, ".ids.zst", part, "n_docs long, n_tokens long")
+    m = write_parts(d, folder, ".ids.zst", part, "n_docs long, n_tokens long, first_id long, last_id long, n_null long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     return m.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     """Reads the parts of a manifest back: ``doc_id, start, n_tokens, ids_crc32, ids``, of the
-    documents ``wanted`` only if given (``ids`` is the packed frame content)."""
-    wanted = None if wanted is None else set(wanted)
+    documents ``wanted`` only if given (``ids`` is the packed frame content). Parts that can hold none of them
+    are not opened."""
+    if wanted is not None:
+        wanted = set(wanted)
+        held = F.lit(None in wanted) & (F.col("n_null") > 0)
+        for i in wanted - {None}:
+            held = held | F.lit(i).between(F.col("first_id"), F.col("last_id"))
+        manifest = manifest.where(held)
     kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
                        ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
