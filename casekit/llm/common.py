@@ -35,17 +35,28 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def row_bytes(schema: T.StructType) -> int:
-    """Bytes of one row of fixed-width columns; anything of variable width counts 64."""
-    width = {T.LongType: 8, T.DoubleType: 8, T.IntegerType: 4, T.BooleanType: 1}
-    return 16 + sum(width.get(type(f.dataType), 64) for f in schema.fields)
+def _bytes_of(col: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, strings and nested values measured."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(col[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+            inner = F.aggregate(col, F.lit(0).cast("long"), lambda a, x: a + _bytes_of(x, kind.elementType))
+        else:
+            inner = F.size(col).cast("long") * 8
+        return F.coalesce(inner, F.lit(0).cast("long")) + 24
+    return F.lit(8).cast("long")
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit ``limit`` bytes, else ``df``
-    for a shuffle join. ``df`` should be cheap to count (a checkpointed table)."""
-    bound = limit // row_bytes(df.schema)
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    """``df`` with a broadcast hint if its measured bytes are at most ``limit``, else ``df`` for a shuffle join.
+    ``df`` should be cheap to read (a checkpointed table)."""
+    most = limit // 24  # no row takes less
+    width = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= limit else df
 
 
 def seeded(*cols: Column | str, seed: int = 0) -> Column:
@@ -59,6 +70,20 @@ def least_equal(similarity: float, coordinates: int) -> int:
     return max(0, int(similarity * coordinates - 5 * math.sqrt(coordinates * similarity * (1 - similarity))))
 
 
+#: Row ids from here on stand for rows without an id of their own.
+NO_ID = 1 << 62
+
+
+def with_row_id(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` with a long that tells its rows apart: the id where no other row has it, else a number from 2^62 on
+    from id and text, so that rows without an id, or different texts under one id, are rows of their own."""
+    ids = F.col("doc_id").cast("long")
+    twice = cut_lineage(docs.groupBy(ids.alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1 AND _twice IS NOT NULL").select("_twice"))
+    d = docs.join(maybe_broadcast(twice), ids == twice["_twice"], "left")
+    own = F.lit(NO_ID) + F.pmod(F.xxhash64(ids, F.coalesce("text", F.lit(""))), F.lit(NO_ID))
+    return d.withColumn(name, F.when(ids.isNull() | F.col("_twice").isNotNull(), own).otherwise(ids)).drop("_twice")
+
+
 # ---- connected components ------------------------------------------------------
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` (longs).

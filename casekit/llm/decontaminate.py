@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import maybe_broadcast
+from casekit.llm.common import maybe_broadcast, with_row_id
 from casekit.session import cut_lineage
 
 WORDS = 5
@@ -155,6 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    bad = cut_lineage(contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(maybe_broadcast(bad), docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """``docs`` without the documents that hold a benchmark item; rows are told apart by ``with_row_id``."""
+    d = with_row_id(docs)
+    found = contaminated(d.select(F.col("_row").alias("doc_id"), "text"), benchmark, similarity)
+    bad = cut_lineage(found.select(F.col("doc_id").alias("_bad")).distinct())
+    return d.join(maybe_broadcast(bad), d["_row"] == bad["_bad"], "left_anti").drop("_row")

@@ -4,8 +4,11 @@ A document's set is its distinct five-word shingles. Equal sets are one class. C
 walk down independent random trees: a node's members are divided by the token that a
 selected minwise coordinate gives them (on average 1/SIMILARITY coordinates per
 node, so that a similar pair stays together at about the rate at which paths branch).
-Small nodes are compared exhaustively, large ones with a pivot and then divided again;
-see ``link_components``. Every link is confirmed on the full sets.
+Small nodes (up to ``NODE_ROWS``) are compared exhaustively: in one task, by all coordinates, of which a spanning forest of the
+pairs that may be links leaves the task. The components of these are candidate clusters; every link lies
+inside one. A cluster of bounded size gets its full sets once and is resolved exactly in one task, member by member of
+a component against those that are in none yet. Larger nodes and clusters are compared with a pivot and divided
+again, pair by pair (``link_components``). Every link is confirmed on the full sets.
 
 A minwise coordinate is min(h XOR c) over the set's hashes h for a random constant c.
 
@@ -23,10 +26,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import least_equal, link_components, maybe_broadcast
+from casekit.llm.common import components, least_equal, link_components, maybe_broadcast
 from casekit.session import cut_lineage
 
 WORDS = 5
@@ -37,6 +40,11 @@ COORDINATES = 64
 #: Sets from this size on are compared by their coordinates before the full sets (``least_equal``).
 ESTIMATE_FROM = 64
 
+#: Members of a node that are compared in one task.
+NODE_ROWS = 1 << 12
+#: Members, and shingles of all members, of a cluster that is resolved in one task.
+CLUSTER_ROWS, CLUSTER_SHINGLES = 1 << 12, 1 << 22
+
 _RNG = np.random.default_rng(10)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _PLACE = _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
@@ -88,11 +96,16 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (low ^ _XOR).astype(np.uint32).view(np.int32)
 
 
+def _row_key() -> tuple[Column, Column]:
+    """A row's id, or for null ids a number far above all ids from its text, and a digest that tells texts of one id apart."""
+    other = F.lit(_NO_ID) + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(_NO_ID))
+    return F.coalesce(F.col("doc_id").cast("long"), other), F.xxhash64("text")
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
-    """``id`` (the document's, or one far above for null ids), ``th`` (tells texts of one id apart), ``text``."""
-    th = F.xxhash64("text")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID) + F.pmod(th, F.lit(_NO_ID))).alias("id"),
-                       th.alias("th"), "text")
+    """``id, th`` (see ``_row_key``) and ``text``."""
+    id_, th = _row_key()
+    return docs.select(id_.alias("id"), th.alias("th"), "text")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -131,8 +144,117 @@ def confirm(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     return texts.select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long")
 
 
+def _whole(batches, key: str):
+    """Groups of Arrow rows with one value of ``key`` from batches sorted by it, many small groups at a time:
+    ``(table, first rows of the groups)``."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.column(key)[-1]
+        if held[0].column(key)[0] == last:
+            continue  # one group so far
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(key).to_numpy()
+        end = int(np.searchsorted(keys, last.as_py()))
+        yield table.slice(0, end), np.flatnonzero(np.append(True, keys[1:end] != keys[: end - 1]))
+        held = table.slice(end).to_batches()
+    if held:
+        yield pa.Table.from_batches(held), np.zeros(1, np.int64)
+
+
+def _edges(a: list, b: list) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _forest(size: int, near) -> list[tuple[int, np.ndarray]]:
+    """A spanning forest of 0..size-1 under ``near(v, others)``: which of ``others`` are linked with v."""
+    edges, free = [], np.arange(size)
+    while len(free) > 1:
+        todo, free = [int(free[0])], free[1:]
+        while todo and len(free):
+            v = todo.pop()
+            hit = near(v, free)
+            if hit.any():
+                edges.append((v, free[hit]))
+                todo += free[hit].tolist()
+                free = free[~hit]
+    return edges
+
+
+def _may_link(n: np.ndarray, sig: np.ndarray, percent: int):
+    """By sizes and coordinates: can these sets be links? No link is passed over (but for ``least_equal``'s five sigma)."""
+    least = least_equal(percent / 100, COORDINATES)
+
+    def near(v, others):
+        small, large = np.minimum(n[others], n[v]), np.maximum(n[others], n[v])
+        ok = 100 * small >= percent * large
+        ok[ok] &= (small[ok] < ESTIMATE_FROM) | ((sig[others[ok]] == sig[v]).sum(1) >= least)
+        return ok
+
+    return near
+
+
+def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Of ``rows(node, id, n, sig)`` a spanning forest ``a, b`` of each node's possible links."""
+
+    def task(batches):
+        for table, starts in _whole(batches, "node"):
+            ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+            sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            a, b = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+                for v, others in _forest(e - s, _may_link(n[s:e], sig[s:e], percent)):
+                    a.append(np.repeat(ids[s + v], len(others)))
+                    b.append(ids[s + others])
+            yield _edges(a, b)
+
+    dealt = rows.select("node", "id", "n", "sig").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(task, "a long, b long").distinct()
+
+
+def cluster_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Of ``rows(cluster, id, sig, text)`` a spanning forest ``a, b`` of each cluster's links, on full sets."""
+
+    def task(batches):
+        for table, starts in _whole(batches, "cluster"):
+            ids, texts = table.column("id").to_numpy(), table.column("text")
+            every = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            a, b = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+                sets = [shingle_set(texts[i].as_py()) for i in range(s, e)]
+                n = np.array([len(x) for x in sets])
+                may = _may_link(n, every[s:e], percent)
+
+                def near(v, others, sets=sets, n=n, may=may):
+                    ok = may(v, others)
+                    for i in np.flatnonzero(ok).tolist():
+                        both = len(np.intersect1d(sets[v], sets[others[i]], assume_unique=True))
+                        ok[i] = 100 * both >= percent * (n[v] + n[others[i]] - both)
+                    return ok
+
+                for v, others in _forest(e - s, near):
+                    a.append(np.repeat(ids[s + v], len(others)))
+                    b.append(ids[s + others])
+            yield _edges(a, b)
+
+    dealt = rows.select("cluster", "id", "sig", "text").repartition("cluster").sortWithinPartitions("cluster")
+    return dealt.mapInArrow(task, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, small: int = 32) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
+    d = _resolved(docs, percent, trees, small)
+    own = F.when(F.col("id") < _NO_ID, F.col("id"))
+    component = F.when(F.col("component") < _NO_ID, F.col("component"))
+    return d.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
+                    own.eqNullSafe(component).alias("kept"))
+
+
+def _resolved(docs: DataFrame, percent: int, trees: int, small: int) -> DataFrame:
+    """``id, th, n`` of every row (see ``_with_key``), and the smallest ``(id, th)`` reachable: ``component, first``."""
     d = cut_lineage(sketches(docs))
     groups = cut_lineage(d.where("n > 0").groupBy("sid").agg(
         F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
@@ -175,32 +297,59 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
              .join(text.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a"))
         return confirm(p, percent)
 
-    labels = link_components(rows, lambda r, level: children(r.join(sets.select("id", "n", "sig"), "id"), level),
-                             verify, small, percent / 100)
-    other = cut_lineage(classes.where("copies > 1 OR k <> id").select("sid", "k", F.col("id").alias("rep")))
-    d = (d.join(maybe_broadcast(other), "sid", "left")
-         .withColumns({"k": F.coalesce("k", "id"), "component": F.coalesce("rep", "id")}).drop("rep"))
+    def with_text(ids):
+        """``id, text`` of classes."""
+        need = cut_lineage(ids.select(F.col("id").alias("k")).join(classes.select("k", "id", "th"), "k"))
+        return cut_lineage(_with_key(docs).join(maybe_broadcast(need), ["id", "th"]).select(F.col("k").alias("id"), "text")
+                           .dropDuplicates(["id"]))
+
+    nodes = cut_lineage(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))
+    met = cut_lineage(rows.join(maybe_broadcast(nodes), "node").select("node", "id", "size", (F.col("m") > NODE_ROWS).alias("hot")))
+    edges = cut_lineage(candidate_links(met.where("NOT hot").select("node", "id").join(sets, "id"), percent))
+    labels = None
+    if not edges.isEmpty():
+        clusters = cut_lineage(components(edges).join(sets.select("id", "n"), "id").withColumnRenamed("component", "cluster"))
+        size = clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+        large = cut_lineage(size.where((F.col("m") > CLUSTER_ROWS) | (F.col("w") > CLUSTER_SHINGLES)).select("cluster"))
+        some = cut_lineage(clusters.join(maybe_broadcast(large), "cluster", "left_anti").select("id", "cluster"))
+        links = cut_lineage(cluster_links(some.join(sets.select("id", "sig"), "id").join(with_text(some), "id"), percent))
+        if not links.isEmpty():
+            labels = cut_lineage(components(links))
+        if not large.isEmpty():
+            big = clusters.join(maybe_broadcast(large), "cluster", "left_semi").select("id")
+            met = cut_lineage(met.join(maybe_broadcast(cut_lineage(big.withColumn("big", F.lit(True)))), "id", "left")
+                              .withColumn("hot", F.col("hot") | F.coalesce("big", F.lit(False))).drop("big"))
+    hot = met.where("hot").select("node", "id", "size")
+    if not hot.isEmpty():
+        more = link_components(hot, lambda r, level: children(r.join(sets.select("id", "n", "sig"), "id"), level),
+                               verify, small, percent / 100)
+        if more is not None:
+            labels = more if labels is None else cut_lineage(components(more.union(labels).toDF("a", "b")))
+    other = cut_lineage(classes.where("copies > 1 OR k <> id").select(
+        "sid", "k", F.col("id").alias("rep"), F.col("th").alias("rep_th")))
+    d = d.join(maybe_broadcast(other), "sid", "left").select(
+        "id", "th", "n", F.coalesce("k", "id").alias("k"), F.coalesce("rep", "id").alias("component"), F.coalesce("rep_th", "th").alias("first"))
     if labels is not None:  # a component is named by the smallest id of its classes
-        named = labels.withColumnRenamed("id", "k").join(classes.select("k", "id"), "k")
-        names = named.groupBy("component").agg(F.min("id").alias("name"))
-        named = cut_lineage(named.join(names, "component").select("k", "name"))
-        d = d.join(maybe_broadcast(named), "k", "left").withColumn("component", F.coalesce("name", "component"))
-    component = F.col("component")
-    own = F.when(F.col("id") < _NO_ID, F.col("id"))
-    component = F.when(component < _NO_ID, component)
-    return d.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                    own.eqNullSafe(component).alias("kept"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group. Of rows that repeat an id only one stays."""
-    n = near_duplicates(docs, **options)
-    gone = cut_lineage(n.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
-    out = docs.join(maybe_broadcast(gone), docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
-    twice = cut_lineage(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
-                        .where("_id IS NOT NULL").select("_id"))
-    if twice.isEmpty():
-        return out
-    same = out["doc_id"] == twice["_id"]
-    again = out.join(maybe_broadcast(twice), same, "left_semi").dropDuplicates(["doc_id"])
-    return out.join(maybe_broadcast(twice), same, "left_anti").unionByName(again)
+        named = labels.withColumnRenamed("id", "k").join(classes.select("k", "id", "th"), "k")
+        names = named.groupBy("component").agg(F.min(F.struct("id", "th")).alias("name"))
+        named = cut_lineage(named.select("k", "component").join(names, "component").select("k", "name"))
+        d = d.join(maybe_broadcast(named), "k", "left").withColumns({
+            "component": F.coalesce("name.id", "component"), "first": F.coalesce("name.th", "first")})
+    return d.select("id", "th", "n", "component", "first")
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, trees: int = TREES, small: int = 32) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest id, then text digest.
+
+    Rows are told apart by id and text, those without an id by 126 bits of their text: different texts under one id, or under
+    none, are documents of their own. Of rows equal in both one stays."""
+    r = cut_lineage(_resolved(docs, percent, trees, small))
+    gone = cut_lineage(r.where("id <> component OR th <> first").select(F.col("id").alias("_gid"), F.col("th").alias("_gth")).distinct())
+    out = docs.withColumns(dict(zip(("_id", "_th"), _row_key())))
+    out = out.join(maybe_broadcast(gone), (out["_id"] == gone["_gid"]) & (out["_th"] == gone["_gth"]), "left_anti")
+    twice = cut_lineage(r.groupBy("id", "th").agg(F.count("*").alias("m")).where("m > 1").select(F.col("id").alias("_gid"), F.col("th").alias("_gth")))
+    if not twice.isEmpty():
+        same = (out["_id"] == twice["_gid"]) & (out["_th"] == twice["_gth"])
+        again = out.join(maybe_broadcast(twice), same, "left_semi").dropDuplicates(["_id", "_th"])
+        out = out.join(maybe_broadcast(twice), same, "left_anti").unionByName(again)
+    return out.select(*docs.columns)
