@@ -35,6 +35,15 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after limiting its session's Arrow batches to ``rows``: whole texts go to Python, and the default of 10,000
+    of them would be held several times over in each worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def _bytes_of(col: Column, kind: T.DataType) -> Column:
     """Bytes of a value, strings and nested values measured."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

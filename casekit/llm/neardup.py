@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import components, least_equal, link_components, maybe_broadcast
+from casekit.llm.common import components, least_equal, link_components, maybe_broadcast, small_batches
 from casekit.session import cut_lineage
 
 WORDS = 5
@@ -43,7 +43,7 @@ ESTIMATE_FROM = 64
 #: Members of a node that are compared in one task.
 NODE_ROWS = 1 << 12
 #: Members, and shingles of all members, of a cluster that is resolved in one task.
-CLUSTER_ROWS, CLUSTER_SHINGLES = 1 << 12, 1 << 22
+CLUSTER_ROWS, CLUSTER_SHINGLES = 1 << 14, 1 << 23
 
 _RNG = np.random.default_rng(10)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, trees: int = TREES,
 
 def _resolved(docs: DataFrame, percent: int, trees: int, small: int) -> DataFrame:
     """``id, th, n`` of every row (see ``_with_key``), and the smallest ``(id, th)`` reachable: ``component, first``."""
-    d = cut_lineage(sketches(docs))
+    d = cut_lineage(sketches(small_batches(docs)))
     groups = cut_lineage(d.where("n > 0").groupBy("sid").agg(
         F.min(F.struct("id", "th")).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"),
         F.count("*").alias("copies")))

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casekit.llm.common import small_batches
+
 MIN_WORDS = 6
 MIN_EXPONENT = 4
 #: Least common prefix of a maximal pair that is a run: MIN_WORDS - 1 at distance 1, more at others.
@@ -206,7 +208,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
             if texts:
                 yield block(b.column("doc_id").slice(begin, len(texts)), texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         task, f"doc_id long, n_words long, {RUNS}, collapsed string")
 
 

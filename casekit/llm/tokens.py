@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.llm.common import new_folder, one_task_each, open_fs, write_parts
+from casekit.llm.common import new_folder, one_task_each, open_fs, small_batches, write_parts
 
 #: Fixed values of the zstandard formats.
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK_TABLE, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -210,7 +210,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
         return write_frames(out, rows())
 
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    d = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*key).sortWithinPartitions(*key)
+    d = small_batches(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(*key).sortWithinPartitions(*key)
     m = write_parts(d, folder, ".ids.zst", part, "n_docs long, n_tokens long, first_id long, last_id long, n_null long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
     return m.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
