@@ -7,8 +7,8 @@ node, so that a similar pair stays together at about the rate at which paths bra
 Small nodes (up to ``NODE_ROWS``) are compared exhaustively: in one task, by all coordinates, of which a spanning forest of the
 pairs that may be links leaves the task. The components of these are candidate clusters; every link lies
 inside one. A cluster of bounded size gets its full sets once and is resolved exactly in one task, member by member of
-a component against those that are in none yet. Larger nodes and clusters are compared with a pivot and divided
-again, pair by pair (``link_components``). Every link is confirmed on the full sets.
+a component against those that are in none yet; of a larger cluster, the members of each node are. Larger nodes are compared
+with a pivot and divided again, pair by pair (``link_components``). Every link is confirmed on the full sets.
 
 A minwise coordinate is min(h XOR c) over the set's hashes h for a random constant c.
 
@@ -43,7 +43,7 @@ ESTIMATE_FROM = 64
 #: Members of a node that are compared in one task.
 NODE_ROWS = 1 << 12
 #: Members, and shingles of all members, of a cluster that is resolved in one task.
-CLUSTER_ROWS, CLUSTER_SHINGLES = 1 << 14, 1 << 23
+CLUSTER_ROWS, CLUSTER_SHINGLES = 1 << 13, 1 << 23
 
 _RNG = np.random.default_rng(10)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
@@ -215,32 +215,45 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(task, "a long, b long").distinct()
 
 
+class _Holders:
+    """Which of a cluster's sets hold each shingle, so that one set's intersections with all others are one count."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets])
+        _, number, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = held[number] > 1  # a shingle that one set holds is in no intersection
+        owner = np.repeat(np.arange(len(sets)), self.n)[several]
+        number = number[several]
+        self.owner = owner[np.argsort(number, kind="stable")].astype(np.int32)
+        self.ends = np.cumsum(held * (held > 1))
+        self.own = np.split(number, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
+
+    def intersections(self, v: int) -> np.ndarray:
+        ends = self.ends
+        parts = [self.owner[ends[t - 1] if t else 0: ends[t]] for t in self.own[v].tolist()]
+        return np.bincount(np.concatenate(parts), minlength=len(self.n)) if parts else np.zeros(len(self.n), np.int64)
+
+
 def cluster_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Of ``rows(cluster, id, sig, text)`` a spanning forest ``a, b`` of each cluster's links, on full sets."""
+    """Of ``rows(cluster, id, text)`` a spanning forest ``a, b`` of each cluster's links, on full sets."""
 
     def task(batches):
         for table, starts in _whole(batches, "cluster"):
             ids, texts = table.column("id").to_numpy(), table.column("text")
-            every = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
             a, b = [], []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
-                sets = [shingle_set(texts[i].as_py()) for i in range(s, e)]
-                n = np.array([len(x) for x in sets])
-                may = _may_link(n, every[s:e], percent)
+                holders = _Holders([shingle_set(texts[i].as_py()) for i in range(s, e)])
 
-                def near(v, others, sets=sets, n=n, may=may):
-                    ok = may(v, others)
-                    for i in np.flatnonzero(ok).tolist():
-                        both = len(np.intersect1d(sets[v], sets[others[i]], assume_unique=True))
-                        ok[i] = 100 * both >= percent * (n[v] + n[others[i]] - both)
-                    return ok
+                def near(v, others, h=holders):
+                    both = h.intersections(v)[others]
+                    return 100 * both >= percent * (h.n[v] + h.n[others] - both)
 
                 for v, others in _forest(e - s, near):
                     a.append(np.repeat(ids[s + v], len(others)))
                     b.append(ids[s + others])
             yield _edges(a, b)
 
-    dealt = rows.select("cluster", "id", "sig", "text").repartition("cluster").sortWithinPartitions("cluster")
+    dealt = rows.select("cluster", "id", "text").repartition("cluster").sortWithinPartitions("cluster")
     return dealt.mapInArrow(task, "a long, b long")
 
 
@@ -312,13 +325,18 @@ def _resolved(docs: DataFrame, percent: int, trees: int, small: int) -> DataFram
         size = clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
         large = cut_lineage(size.where((F.col("m") > CLUSTER_ROWS) | (F.col("w") > CLUSTER_SHINGLES)).select("cluster"))
         some = cut_lineage(clusters.join(maybe_broadcast(large), "cluster", "left_anti").select("id", "cluster"))
-        links = cut_lineage(cluster_links(some.join(sets.select("id", "sig"), "id").join(with_text(some), "id"), percent))
+        # members of a larger cluster are resolved node by node: a link's ends share a node
+        parts = met.where("NOT hot").join(maybe_broadcast(cut_lineage(clusters.join(maybe_broadcast(large), "cluster", "left_semi"))), "id")
+        parts = cut_lineage(parts.withColumn("part", F.xxhash64("node", "cluster")).select("node", "part", "id", "n", "size"))
+        bulk = parts.groupBy("part").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
+        bulk = cut_lineage(bulk.select("part", (F.col("w") > CLUSTER_SHINGLES).alias("heavy")))
+        parts = cut_lineage(parts.join(maybe_broadcast(bulk), "part"))
+        few = some.select("id", "cluster").unionByName(parts.where("NOT heavy").select("id", F.col("part").alias("cluster")))
+        texts = with_text(few.select("id").distinct())
+        links = cut_lineage(cluster_links(few.join(texts, "id"), percent).distinct())
         if not links.isEmpty():
             labels = cut_lineage(components(links))
-        if not large.isEmpty():
-            big = clusters.join(maybe_broadcast(large), "cluster", "left_semi").select("id")
-            met = cut_lineage(met.join(maybe_broadcast(cut_lineage(big.withColumn("big", F.lit(True)))), "id", "left")
-                              .withColumn("hot", F.col("hot") | F.coalesce("big", F.lit(False))).drop("big"))
+        met = met.select("node", "id", "size", "hot").unionByName(parts.where("heavy").select("node", "id", "size", F.lit(True).alias("hot")))
     hot = met.where("hot").select("node", "id", "size")
     if not hot.isEmpty():
         more = link_components(hot, lambda r, level: children(r.join(sets.select("id", "n", "sig"), "id"), level),
