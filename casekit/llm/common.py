@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import itertools
 import math
 import uuid
@@ -44,6 +46,24 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+#: What tasks keep in their Python worker for the next task of their own kind.
+WORKER_CACHES: dict[str, dict] = {}
+
+
+def release_caches(keep: str = "") -> None:
+    """Called in a task: drops what tasks of other operators left in this worker, which Spark reuses."""
+    dropped = [c for name, c in WORKER_CACHES.items() if name != keep and c]
+    for cache in dropped:
+        cache.clear()
+    if dropped:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:  # hand free pages back where the C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+
 def _bytes_of(col: Column, kind: T.DataType) -> Column:
     """Bytes of a value, strings and nested values measured."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import components, least_equal, link_components, maybe_broadcast, small_batches
+from casekit.llm.common import components, least_equal, link_components, maybe_broadcast, release_caches, small_batches
 from casekit.session import cut_lineage
 
 WORDS = 5
@@ -112,6 +112,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """``id, th, n, sid, sig``: size, digest and coordinates of every document's set."""
 
     def task(batches):
+        release_caches()
         for b in batches:
             n, sid, sig = [], [], []
             for t in b.column("text").to_pylist():

@@ -31,12 +31,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casekit.llm.common import new_folder, one_task_each, open_fs, small_batches, write_parts
+from casekit.llm.common import WORKER_CACHES, new_folder, one_task_each, open_fs, small_batches, write_parts
 
 #: Fixed values of the zstandard formats.
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK_TABLE, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Distinct words and pre-tokens whose ids a worker remembers before it starts anew: about 45 MB each.
-MEMO_WORDS, MEMO_PARTS = 250_000, 250_000
+#: Distinct words and pre-tokens whose ids a worker remembers before it starts anew: about 35 MB each.
+MEMO_WORDS, MEMO_PARTS = 200_000, 200_000
 #: Characters of text that are split at once.
 BATCH_CHARS = 1 << 20
 #: Fixed value: pre-tokenizer that drops white space and treats the words between on their own.
@@ -44,7 +44,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin letters and then ASCII punctuation: two pre-tokens of that pattern.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[str, "Encoder"] = WORKER_CACHES.setdefault("tokens", {})
 
 
 def _folded(text: str) -> str:
