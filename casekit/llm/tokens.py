@@ -35,8 +35,9 @@ from casekit.llm.common import WORKER_CACHES, new_folder, one_task_each, open_fs
 
 #: Fixed values of the zstandard formats.
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK_TABLE, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: Distinct words and pre-tokens whose ids a worker remembers before it starts anew: about 35 MB each.
-MEMO_WORDS, MEMO_PARTS = 200_000, 200_000
+#: Distinct words and pre-tokens whose ids a worker remembers before it starts anew, by default:
+#: together about 230 MB. A smaller ``memo`` costs time.
+MEMO = 700_000
 #: Characters of text that are split at once.
 BATCH_CHARS = 1 << 20
 #: Fixed value: pre-tokenizer that drops white space and treats the words between on their own.
@@ -63,7 +64,7 @@ class Encoder:
     """Texts to packed ids. If the tokenizer treats words between white space on their own, ids are
     looked up per word and the library sees each new word once; else it gets whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -75,6 +76,7 @@ class Encoder:
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.memo = memo
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -84,9 +86,9 @@ class Encoder:
     def _learned(self, found: set[str]) -> dict[str, bytes]:
         """The memo of words, with a batch's distinct words in it. Words are put together from pre-tokens, which
         are remembered too."""
-        if len(self.parts) > MEMO_PARTS:
+        if len(self.parts) > self.memo:
             self.parts = {"": b""}
-        if len(self.words) > MEMO_WORDS:
+        if len(self.words) > self.memo:
             self.words = {}
         simple, rest, letters, marks, parts, words = [], [], set(), set(), self.parts, self.words
         for w in found.difference(words.keys()) if len(found) > len(words) else [w for w in found if w not in words]:
@@ -138,8 +140,10 @@ class Encoder:
             some, size = [], 0
 
 
-def encoder(path: str) -> Encoder:
-    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    known = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+    known.memo = memo
+    return known
 
 
 def _skippable(magic: int, body: bytes) -> bytes:
@@ -192,14 +196,14 @@ def read_frames(file, wanted: set[int] | None = None) -> Iterator[tuple[int | No
         yield doc_id, length // 4, data
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, memo: int = MEMO) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` with the tokenizer file (same path on all executors), appends
     ``end_id`` to each document and writes the parts. Returns the manifest: ``part, path, n_docs,
     n_tokens, first_id, last_id, n_null`` (documents without an id) and ``base``, the ids in the parts before."""
     end = struct.pack("<I", end_id)
 
     def part(out, batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo)
 
         def rows():
             for b in batches:
@@ -252,8 +256,9 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
         task, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None,
+              memo: int = MEMO) -> DataFrame:
     """Writes the token files (into ``folder``, or a new one below the shared checkpoint folder) and
     returns one row per document as read back from them."""
     folder = folder or new_folder(docs.sparkSession, "token-ids")
-    return read_tokens(write_tokens(docs, folder, tokenizer, end_id)).drop("ids")
+    return read_tokens(write_tokens(docs, folder, tokenizer, end_id, memo)).drop("ids")
