@@ -12,6 +12,8 @@ from casekit.llm import decontaminate, mixing, neardup, quality, tokens
 from casekit.llm.common import new_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words a worker remembers: four other stages share the executors' memory.
+MEMO = 200_000
 #: Similarity in per cent of near copies; operator 10's own query has 85.
 NEAR_PERCENT = 80
 
@@ -38,7 +40,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns their documents as read back."""
-    return tokens.tokenized(docs, public_tokenizers.path(TOKENIZER))
+    return tokens.tokenized(docs, public_tokenizers.path(TOKENIZER), memo=MEMO)
 
 
 STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("decontamination", decontamination),
