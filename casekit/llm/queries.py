@@ -50,13 +50,13 @@ def op5_quality_ngrams(spark, sf_dir):
 
 @query
 def op6_warc_transactions(spark, sf_dir):
-    c = warc.round_trip(table(spark, sf_dir, "pages"))
+    c = warc.round_trip(table(spark, sf_dir, "pages"), payloads=False)
     full = F.col("response.type") == "response"
     return c.select(
         F.col("metadata.page_id").alias("page_id"),
         F.when(full, F.col("response.length")).otherwise(F.col("metadata.payload_length")).alias("payload_bytes"),
         F.when(full, F.col("response.sha256")).otherwise(F.col("response.digest")).alias("payload_digest"),
-        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("refers_to"),
+        F.col("response.type").alias("record_type"), F.col("metadata.refers_to_page").alias("refers_to"),
         F.col("request.record_id").isNotNull().alias("has_request"))
 
 

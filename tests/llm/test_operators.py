@@ -268,14 +268,21 @@ def test_warc_round_trip(spark):
     got = warc.round_trip(pages).collect()
     assert len(got) == len(rows)
     seen = collections.Counter()
+    record = {r.metadata.page_id: r.record_id for r in got}
+    assert len({r.record_id for r in got}) == len(rows)
+    lean = warc.round_trip(pages, payloads=False).collect()
+    assert sorted((r.metadata.page_id, r.response.sha256) for r in lean) == sorted((r.metadata.page_id, r.response.sha256) for r in got)
+    assert "payload" not in lean[0].response
     for r in got:
         page = r.metadata.page_id
+        assert (r.target_uri is None) == (page == 9)
         html = next(h for p, _, h in rows if p == page) or ""
         seen[page] += 1
         assert r.response.digest == hashlib.sha256(html.encode()).hexdigest() and r.request is not None
         assert r.metadata.payload_length == len(html.encode())
         if page in (5, 9):
-            assert (r.response.type, r.response.refers_to, r.response.length) == ("revisit", 3, 0)
+            assert (r.response.type, r.metadata.refers_to_page, r.response.length) == ("revisit", 3, 0)
+            assert r.response.refers_to == record[3]  # the id of a record in the archives
         else:
             assert r.response.type == "response" and bytes(r.response.payload).decode() == html
     assert seen == collections.Counter(p for p, _, _ in rows)
