@@ -5,7 +5,8 @@ values, min(h XOR c) over the hashes h of all its eight-character shingles, for
 the field of four elements: any two of the 16 values share at most one
 band, so the 16 bands of four overlap as little as possible. Lines that share a band meet;
 ``link_components`` confirms pairs by the exact Jaccard similarity of
-the same shingles and unites them; the first line of each component stays.
+the same shingles and unites them; the first line of each component stays. Shingles are compared by their 64-bit
+hashes, and as texts where the counts are so near the threshold that equal hashes of unequal shingles could matter.
 
 Recall of the bands at similarity 0.8 / 0.85 / 0.9: 0.989 / 0.997 / 0.9995 (simulated). Large nodes are
 divided several ways at once (``child_nodes``): after five levels of division 0.986 / 0.995 are left.
@@ -23,7 +24,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casekit.llm.common import least_equal, link_components, maybe_broadcast
+from casekit.llm.common import link_components, maybe_broadcast
 from casekit.session import cut_lineage
 
 SIMILARITY = 0.8
@@ -34,6 +35,12 @@ _PIECES = rf"(?s)(?=(.{{{SHINGLE},{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
 #: Children of a large node.
 FIRST, NEXT = 4, 2
 _EVERY = rf"(?s)(?=(.{{{SHINGLE}}}))"
+#: Shingles hashed in one row of the signatures' job.
+ROW = 8
+#: Distance from the threshold, in shingles, up to which shingles are compared as texts.
+NEAR = 3
+#: What ``\\s`` means in a regular expression.
+BLANK = " \t\n\u000b\f\r"
 
 
 def _constants(n: int) -> list[int]:
@@ -61,16 +68,28 @@ def child_nodes(node: Column, values: Column, level: int) -> list[Column]:
     return [F.xxhash64(F.lit(c), node, F.get(values, pick(c))) for c in range(FIRST if level == 1 else NEXT)]
 
 
-def normalized(line: Column) -> Column:
-    return F.lower(F.trim(line))
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` (from 0), ``line`` (normalized), ``id`` (its hash; null for blank lines)."""
     # outer: else a filter on the lines' number is put below, which splits every text twice
-    x = docs.select(F.col("doc_id").cast("long"), F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    x = x.where("line_no IS NOT NULL").select("doc_id", "line_no", normalized(F.col("raw")).alias("line"))
-    return x.withColumn("id", F.when(F.rlike("line", F.lit(r"\S")), F.xxhash64("line")))
+    x = docs.select(F.col("doc_id").cast("long"),
+                    F.posexplode_outer(F.split(F.lower("text"), "\n", -1)).alias("line_no", "raw"))
+    x = x.where("line_no IS NOT NULL").select("doc_id", "line_no", F.trim("raw").alias("line"))
+    return x.withColumn("id", F.when(F.btrim("line", F.lit(BLANK)) != "", F.xxhash64("line")))
+
+
+def _pieces(line: Column) -> Column:
+    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(
+        F.regexp_extract_all(line, F.lit(_PIECES), F.lit(1)))
+
+
+def _starts(piece: Column, step: int = 1) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.char_length(piece) - (SHINGLE - 1), F.lit(1)), F.lit(step))
+
+
+def hash_set(line: Column) -> Column:
+    """Distinct 64-bit hashes of a line's shingles."""
+    return F.array_distinct(F.flatten(F.transform(_pieces(line), lambda p: F.transform(
+        _starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(SHINGLE)))))))
 
 
 def exact_set(line: Column) -> Column:
@@ -86,16 +105,27 @@ def exact_similarity(x: Column, y: Column) -> Column:
     return F.element_at(F.transform(counts, lambda c: c["both"] / (c["all"] - c["both"])), 1)
 
 
+def similar(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two lines have this Jaccard similarity."""
+    sets = F.array(F.struct(hash_set(x).alias("x"), hash_set(y).alias("y")))
+    counts = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"),
+                                                  (F.size(s["x"]) + F.size(s["y"])).alias("all")))
+    over = F.transform(counts, lambda c: c["both"] - similarity * (c["all"] - c["both"]))
+    return F.element_at(F.transform(over, lambda o: F.when(
+        F.abs(o) <= NEAR, exact_similarity(x, y) >= similarity - 1e-9).otherwise(o > 0)), 1)
+
+
 def signatures(lines: DataFrame) -> DataFrame:
-    """``id, m0 .. m15``: minwise values over the shingles that ``exact_set`` holds."""
-    pieces = F.when(F.char_length("line") < SHINGLE, F.array("line")).otherwise(
-        F.regexp_extract_all("line", F.lit(_PIECES), F.lit(1)))
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length("piece") - (SHINGLE - 1), F.lit(1)))
+    """``id, m0 .. m15``: minwise values over the shingles that ``exact_set`` holds. A row of the job has ROW
+    shingles, the last one several times where a line ends, so that few rows are made and grouped."""
     # outer: else a filter on the pieces' number is put below, which cuts every line twice
-    h = (lines.where("id IS NOT NULL").select("id", F.explode_outer(pieces).alias("piece"))
-         .select("id", "piece", F.explode_outer(starts).alias("at"))
-         .select("id", F.hash(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("h")))
-    return h.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}")
+    p = (lines.where("id IS NOT NULL").select("id", F.explode_outer(_pieces(F.col("line"))).alias("piece"))
+         .select("id", "piece", F.explode_outer(_starts(F.col("piece"), ROW)).alias("at"))
+         .select("id", F.substring("piece", F.col("at"), F.lit(SHINGLE + ROW - 1)).alias("part")))
+    p = p.withColumn("last", F.greatest(F.char_length("part") - (SHINGLE - 1), F.lit(1)))
+    h = p.select("id", *[F.hash(F.substring("part", F.least(F.lit(k + 1), F.col("last")), F.lit(SHINGLE))).alias(f"h{k}")
+                         for k in range(ROW)])
+    return h.groupBy("id").agg(*[F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(c)) for k in range(ROW)])).alias(f"m{i}")
                                  for i, c in enumerate(_constants(16))])
 
 
@@ -112,8 +142,13 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 32
     more = rows.join(maybe_broadcast(met.where("n > 2").select("node")), "node", "left_semi").select("node", "id")
     rows = cut_lineage(two.union(more).withColumn("size", F.lit(0)))
     need = cut_lineage(rows.select("id").distinct())
-    text = cut_lineage(lines.select("id", "line").join(maybe_broadcast(need), "id", "left_semi")
-                       .groupBy("id").agg(F.first("line").alias("line")))
+    # a line without an id meets nothing: its own key keeps such lines out of one task
+    key = F.coalesce("id", F.xxhash64("doc_id", "line_no"))
+    need = need.select(F.col("id").alias("key"), F.lit(True).alias("needed"))
+    place = cut_lineage(lines.withColumn("key", key).join(maybe_broadcast(need), "key", "left").select(
+        "key", "doc_id", "line_no", "id", F.when(F.col("id").isNotNull() & F.col("needed"), F.col("line")).alias("line")))
+    text = cut_lineage(place.where("line IS NOT NULL").groupBy("id").agg(F.first("line").alias("line")))
+    place = place.drop("line")
     values = F.array(*[F.col(f"m{j}") for j in range(16)])
 
     def children(r, level):
@@ -121,22 +156,19 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, small: int = 32
         return r.join(sig, "id").select(nodes.alias("node"), "id", "size")
 
     def verify(pairs):
-        full = sig.select("id", values.alias("v")).join(text, "id")
-        p = (pairs.join(full.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("v").alias("vx")), "a")
-             .join(full.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("v").alias("vy")), "b"))
-        equal = F.size(F.filter(F.zip_with("vx", "vy", lambda x, y: x == y), lambda x: x))
-        return p.where(equal >= least_equal(similarity, 16)).where(
-            exact_similarity(F.col("x"), F.col("y")) >= similarity - 1e-9).select("a", "b")
+        p = (pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+             .join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
+        return p.where(similar(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
     labels = link_components(rows, children, verify, small)
-    place = cut_lineage(line_table(docs).select("doc_id", "line_no", "id"))
-    place = place.withColumn("comp", F.col("id"))
+    place = place.withColumn("comp", F.col("key"))
     if labels is not None:
-        place = place.drop("comp").join(maybe_broadcast(labels.withColumnRenamed("component", "c")), "id", "left")
-        place = place.withColumn("comp", F.coalesce("c", "id")).drop("c")
-    first = (place.where("comp IS NOT NULL").groupBy("comp").agg(
+        labels = labels.select(F.col("id").alias("key"), F.col("component").alias("c"))
+        place = place.join(maybe_broadcast(labels), "key", "left").withColumn("comp", F.coalesce("c", "key"))
+    first = (place.where("id IS NOT NULL").groupBy("comp").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "line_no")).alias("rep")).where("n > 1").drop("n"))
     place = place.join(maybe_broadcast(cut_lineage(first)), "comp", "left")
+    place = place.withColumn("rep", F.when(F.col("id").isNotNull(), F.col("rep")))
     own = F.struct("doc_id", "line_no")
     rep = F.coalesce("rep", own)
     return place.select("doc_id", "line_no", rep["doc_id"].alias("rep_doc_id"), rep["line_no"].alias("rep_line_no"),
