@@ -1,4 +1,5 @@
 """Row identity of the filtering stages, cluster resolution of the near-duplicate join, byte-true broadcasts."""
+import os
 import random
 
 import numpy as np
@@ -91,3 +92,28 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, bounds):
     want = pairs_brute(texts, 85)
     assert len(set(want)) < 100
     assert [got[i] for i in range(len(texts))] == want
+
+
+# ---- connected components ----------------------------------------------------------
+@pytest.mark.parametrize("piece", [1 << 18, 200])
+def test_components_of_chains_and_stars(spark, monkeypatch, piece):
+    monkeypatch.setattr(common, "PIECE_EDGES", piece)
+    r = random.Random(4)
+    ids = r.sample(range(-5000, 5000), 900)
+    edges = list(zip(ids[:300], ids[1:300])) + [(ids[300], i) for i in ids[300:600]]
+    edges += [(r.choice(ids[600:]), r.choice(ids[600:])) for _ in range(250)]
+    root = {i: i for e in edges if e[0] != e[1] for i in e}
+    for a, b in edges:
+        if a != b:
+            x, y = root[a], root[b]
+            root = {i: min(x, y) if c in (x, y) else c for i, c in root.items()}
+    got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert len(got) == len(root) and {x.id: x.component for x in got} == root
+
+
+def test_components_of_few_edges_take_few_files(spark):
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(os.listdir(folder))
+    edges = spark.range(2000).selectExpr("id AS a", "id + 1 AS b").repartition(7)
+    common.components(edges).collect()
+    assert len(set(os.listdir(folder)) - before) <= 2  # 12 before pieces were contracted
