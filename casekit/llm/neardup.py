@@ -23,6 +23,7 @@ other than the id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -235,15 +236,17 @@ class _Holders:
         return np.bincount(np.concatenate(parts), minlength=len(self.n)) if parts else np.zeros(len(self.n), np.int64)
 
 
-def cluster_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Of ``rows(cluster, id, text)`` a spanning forest ``a, b`` of each cluster's links, on full sets."""
+def cluster_links(rows: DataFrame, percent: float, sets: Callable[[list[str]], list[np.ndarray]] | None = None) -> DataFrame:
+    """Of ``rows(cluster, id, text)`` a spanning forest ``a, b`` of each cluster's links, on full sets. ``sets`` makes
+    the sets of a cluster's texts, as numbers that tell the cluster's shingles apart (default: ``shingle_set`` of each)."""
 
     def task(batches):
         for table, starts in _whole(batches, "cluster"):
             ids, texts = table.column("id").to_numpy(), table.column("text")
             a, b = [], []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
-                holders = _Holders([shingle_set(texts[i].as_py()) for i in range(s, e)])
+                own = [texts[i].as_py() for i in range(s, e)]
+                holders = _Holders(sets(own) if sets else [shingle_set(t) for t in own])
 
                 def near(v, others, h=holders):
                     both = h.intersections(v)[others]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casekit.llm import common, decontaminate, neardup, quality
+from casekit.llm import common, decontaminate, lines, neardup, quality
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -117,3 +117,70 @@ def test_components_of_few_edges_take_few_files(spark):
     edges = spark.range(2000).selectExpr("id AS a", "id + 1 AS b").repartition(7)
     common.components(edges).collect()
     assert len(set(os.listdir(folder)) - before) <= 2  # 12 before pieces were contracted
+
+
+# ---- 4 fuzzy lines ---------------------------------------------------------------------
+def odd_lines():
+    r = random.Random(1)
+    kinds = ["abcd efgh", "abc dé漢\U0001f600ÿxyz"]
+    return ["".join(r.choice(kinds[k % 2]) for _ in range(r.randint(1, 60))) for k in range(120)] + ["a", "é", "\U0001f600" * 3, "abcdefgh"]
+
+
+def grams(x):
+    return {x[j: j + 8] for j in range(len(x) - 7)} if len(x) >= 8 else {x}
+
+
+def test_line_signatures_are_those_of_every_shingle(spark):
+    df = spark.createDataFrame(list(enumerate(odd_lines())), "id long, line string")
+    got = {x.id: x for x in lines.signatures(df).collect()}
+    cut = lambda i: F.hash(F.substring("line", i, F.lit(8)))
+    for x in df.select("id", F.transform(lines._starts(F.col("line")), cut).alias("h")).collect():
+        assert [got[x.id][f"m{i}"] for i in range(16)] == [min(h ^ c for h in x.h) for c in lines._constants(16)]
+
+
+@pytest.mark.parametrize("more", [[], ["".join(chr(300 + i) for i in range(300))]])
+def test_line_sets_are_exact(more):  # with few and with many characters
+    texts = odd_lines() + more
+    sets, want = lines.line_sets(texts), [grams(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in want]
+    for a in range(len(texts)):
+        for b in range(a):
+            assert len(np.intersect1d(sets[a], sets[b])) == len(want[a] & want[b])
+
+
+@pytest.mark.parametrize("rows, shingles", [(1 << 13, 1 << 23), (20, 1 << 23), (1 << 13, 1500), (1, 1)])
+def test_line_clusters_whatever_the_bounds(spark, monkeypatch, rows, shingles):
+    """Many variants of one line, some linked and some not: whole clusters, nodes and pairs give the same components."""
+    monkeypatch.setattr(lines, "CLUSTER_ROWS", rows)
+    monkeypatch.setattr(lines, "CLUSTER_SHINGLES", shingles)
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz\U0001f600\U0001f680") for _ in range(90))
+    texts = [base]
+    for _ in range(70):
+        t = list(r.choice(texts))
+        t[r.randrange(len(t))] = r.choice("ABC#0123")
+        texts.append("".join(t).lower())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            s, t = grams(texts[a]), grams(texts[b])
+            if len(s & t) >= 0.8 * len(s | t):
+                x, y = sorted((root[a], root[b]))
+                root = [x if c == y else c for c in root]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x.doc_id: x.rep_doc_id for x in got.collect()} == dict(enumerate(root))
+
+
+def test_lines_that_meet_are_not_paired(spark):
+    """Lines below the threshold that share buckets: the plan has no join of pairs, whose rows grew with a group's square."""
+    r = random.Random(2)
+    base = "".join(r.choice("abcdefgh") for _ in range(120))
+    texts = [base[:r.randrange(60, 110)] + "".join(r.choice("xyz0123") for _ in range(40)) for _ in range(30)]
+    asked = []
+    whole = lines.similar
+    lines.similar = lambda *a: asked.append(a) or whole(*a)
+    try:
+        lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        lines.similar = whole
+    assert not asked
