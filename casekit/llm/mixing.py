@@ -63,7 +63,7 @@ def _seats(claims: DataFrame, within: list[str], seats: str | int, key: list[str
     (upwards by the rows below ``most`` alone, which no other can relieve), so only the quotients about a
     claim are in doubt; those before have won. About five quotients a row are ranked, however many the seats."""
     c = claims.where((F.col("most") > 0) & (F.col("claim") > 0)).withColumn(
-        "_seats", F.col(seats) if isinstance(seats, str) else F.lit(seats))
+        "_seats", (F.col(seats) if isinstance(seats, str) else F.lit(seats)).cast("long"))
     free = F.col("claim") * F.col("_seats") < F.col("_sum") * F.col("most")
     total = cut_lineage(c.groupBy(*within).agg(F.sum("claim").alias("_sum"), F.count("*").alias("_rows")))
     c = c.join(maybe_broadcast(total), within) if within else c.crossJoin(F.broadcast(total))

@@ -97,6 +97,16 @@ def test_mix_small_sources_beside_a_hot_one(spark):
         assert (got.taken <= 3 * got["size"]).all() and per.taken.sum() == got["size"].sum()
 
 
+def test_mix_of_more_words_than_an_int_holds(spark):
+    """2 ** 30 seats are the first whose double is no int; 2 ** 31 are none themselves."""
+    docs = frame(spark, [(i, "w") for i in range(16)], extra=False)
+    for each in (1 << 26, 1 << 28):
+        got = mixing.mix(docs, size=F.lit(each)).toPandas()
+        per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+        assert ((per.target - per.taken).abs() <= 1).all(), per
+        assert (got.taken <= 3 * got["size"]).all() and per.taken.sum() == 16 * each
+
+
 # ---- 2 decontamination -------------------------------------------------------------
 def test_simhash_windows_against_brute_force(spark):
     items = [(i, prose(14 + i * 3, 100 + i)) for i in range(8)] + [(20, "only three words"), (21, ""), (22, None)]
