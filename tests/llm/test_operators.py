@@ -269,6 +269,57 @@ def test_quality_model_is_a_distribution_and_separates(spark):
     assert quality.classify(frame(spark, []), labels).count() == 0
 
 
+def brute_kneser_ney(texts, symbols, order=4):
+    """Log probability of an n-gram (a tuple) by the interpolated model of ``texts``."""
+    grams = collections.Counter()
+    for t in texts:
+        s = [None] * (order - 1) + list(t)
+        grams.update(tuple(s[i:i + order]) for i in range(len(t)))
+    counts = {order: grams}
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    d = {n: quality.discounts(*(sum(c == k for c in counts[n].values()) for k in (1, 2, 3, 4))) for n in counts}
+    total, left = collections.Counter(), collections.Counter()
+    for n in counts:
+        for g, c in counts[n].items():
+            total[n, g[:-1]] += c
+            left[n, g[:-1]] += d[n][min(c, 3) - 1]
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / symbols
+        if not total[n, g[:-1]]:
+            return p(g[1:])
+        c = counts[n].get(g, 0)
+        return ((c - d[n][min(c, 3) - 1] if c else 0) + left[n, g[:-1]] * p(g[1:])) / total[n, g[:-1]]
+
+    return p
+
+
+@pytest.mark.parametrize("held", [quality.HELD, 50])
+def test_quality_model_tells_all_characters_apart(spark, monkeypatch, held):
+    """300 characters of five scripts, of which the array has room for 62; one beyond 16 bits, one that only a scored text has."""
+    monkeypatch.setattr(quality, "HELD", held)
+    r, scripts = random.Random(8), [[chr(b + i) for i in range(60)] for b in (97, 0x430, 0x5D0, 0x4E00, 0x1F300)]
+    good = ["".join(r.choice(scripts[i % 5][: 20 + i]) for _ in range(120)) for i in range(40)]
+    seen = set("".join(good))
+    assert len(seen) > 200
+    texts = good + ["".join(sorted(good[3])), "plain \u2603 " + good[2][:30], "", None, good[4] + "\U0001f9ff"]
+    docs = frame(spark, list(enumerate(texts))).withColumn("trusted", F.col("doc_id") < len(good))
+    trusted = docs.where("trusted")
+    chars = quality.alphabet(trusted)
+    assert set(map(chr, chars)) == seen
+    model = quality.kneser_ney(quality.count_ngrams(trusted, chars))
+    table = spark.sparkContext.broadcast(quality.dense(model))
+    got = {x.doc_id: x.nll for x in quality._with_rare(quality.score(docs, chars, table), model).collect()}
+    p = brute_kneser_ney(good, len(seen) + 2)
+    for i, t in enumerate(texts):
+        s = [None] * 3 + list(t or "")
+        want = -sum(np.log(p(tuple(s[k:k + 4]))) for k in range(len(t or "")))
+        assert got[i] == pytest.approx(want, rel=2e-3, abs=1e-9), (i, t)
+
+
 # ---- 6 WARC --------------------------------------------------------------------------
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 100
